@@ -59,23 +59,24 @@ def validate_statements(frame: DataFrame) -> DataFrame:
     return cleaned
 
 
-def ratio_expressions() -> dict[str, Column]:
-    equity = C("Total_Assets") - C("Total_Liabilities")
+def ratio_expressions(of=C) -> dict[str, Column]:
+    """Ratio formulas over ``of(measure)``, so scenarios can supply adjusted measures."""
+    equity = of("Total_Assets") - of("Total_Liabilities")
     pairs = {
-        "Current_Ratio": (C("Current_Assets"), C("Current_Liabilities")),
-        "Quick_Ratio": (C("Current_Assets") - C("Inventory"), C("Current_Liabilities")),
-        "Debt_to_Equity": (C("Debt"), equity),
-        "Debt_to_Assets": (C("Debt"), C("Total_Assets")),
-        "Interest_Coverage": (C("EBITDA"), C("Interest_Expense")),
-        "ROA": (C("Net_Profit"), C("Total_Assets")),
-        "ROE": (C("Net_Profit"), equity),
-        "EBITDA_Margin": (C("EBITDA"), C("Revenue")),
-        "Net_Profit_Margin": (C("Net_Profit"), C("Revenue")),
-        "Operating_Cash_Flow_Ratio": (C("Cash_Flow_Operations"), C("Current_Liabilities")),
+        "Current_Ratio": (of("Current_Assets"), of("Current_Liabilities")),
+        "Quick_Ratio": (of("Current_Assets") - of("Inventory"), of("Current_Liabilities")),
+        "Debt_to_Equity": (of("Debt"), equity),
+        "Debt_to_Assets": (of("Debt"), of("Total_Assets")),
+        "Interest_Coverage": (of("EBITDA"), of("Interest_Expense")),
+        "ROA": (of("Net_Profit"), of("Total_Assets")),
+        "ROE": (of("Net_Profit"), equity),
+        "EBITDA_Margin": (of("EBITDA"), of("Revenue")),
+        "Net_Profit_Margin": (of("Net_Profit"), of("Revenue")),
+        "Operating_Cash_Flow_Ratio": (of("Cash_Flow_Operations"), of("Current_Liabilities")),
     }
     result = {name: ratios.bounded_ratio(*pair) for name, pair in pairs.items()}
-    result["Receivable_Days"] = ratios.day_ratio(C("Accounts_Receivable"), C("Revenue"))
-    result["Inventory_Days"] = ratios.day_ratio(C("Inventory"), C("Revenue"))
+    result["Receivable_Days"] = ratios.day_ratio(of("Accounts_Receivable"), of("Revenue"))
+    result["Inventory_Days"] = ratios.day_ratio(of("Inventory"), of("Revenue"))
     return result
 
 
@@ -140,8 +141,8 @@ def early_warnings(features: DataFrame) -> DataFrame:
         "warning_signals", F.size("warnings").cast("bigint"))
 
 
-def observed_fields() -> Column:
-    return ratios.present_count([C(name) for name in CORE_FIELDS])
+def observed_fields(of=C) -> Column:
+    return ratios.present_count([of(name) for name in CORE_FIELDS])
 
 
 def model_eligible() -> Column:
@@ -160,26 +161,26 @@ def debt_to_equity(frame: DataFrame) -> Column:
     return F.coalesce(C("Debt_to_Equity"), ratios.safe_ratio(C("Debt"), derived_equity(frame)))
 
 
-def rule_conditions(debt_equity: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+def rule_conditions(debt_equity: Column, of=C) -> tuple[dict[str, Column], dict[str, Column]]:
     risky = {
         "Negative Equity": debt_equity < 0,
         "Debt / Equity": debt_equity > 2,
-        "Current Ratio": C("Current_Ratio") < 1.2,
-        "Debt / Assets": C("Debt_to_Assets") >= 0.65,
-        "Net Profit Margin": C("Net_Profit_Margin") < 0,
-        "Return on Assets": C("ROA") < 0,
-        "Interest Coverage": C("Interest_Coverage") < 1.5,
-        "Revenue Growth": C("Sales_Growth") < -0.15,
-        "Operating Cash Flow": C("Cash_Flow_Operations") < 0,
+        "Current Ratio": of("Current_Ratio") < 1.2,
+        "Debt / Assets": of("Debt_to_Assets") >= 0.65,
+        "Net Profit Margin": of("Net_Profit_Margin") < 0,
+        "Return on Assets": of("ROA") < 0,
+        "Interest Coverage": of("Interest_Coverage") < 1.5,
+        "Revenue Growth": of("Sales_Growth") < -0.15,
+        "Operating Cash Flow": of("Cash_Flow_Operations") < 0,
     }
     protective = {
-        "Current Ratio": C("Current_Ratio") >= 1.5,
+        "Current Ratio": of("Current_Ratio") >= 1.5,
         "Debt / Equity": (debt_equity >= 0) & (debt_equity <= 2),
-        "Net Profit Margin": C("Net_Profit_Margin") >= 0,
-        "Return on Assets": C("ROA") >= 0,
-        "Interest Coverage": C("Interest_Coverage") >= 1.5,
-        "Revenue Growth": C("Sales_Growth") > 0,
-        "Operating Cash Flow": C("Cash_Flow_Operations") > 0,
+        "Net Profit Margin": of("Net_Profit_Margin") >= 0,
+        "Return on Assets": of("ROA") >= 0,
+        "Interest Coverage": of("Interest_Coverage") >= 1.5,
+        "Revenue Growth": of("Sales_Growth") > 0,
+        "Operating Cash Flow": of("Cash_Flow_Operations") > 0,
     }
     return risky, protective
 
@@ -189,25 +190,34 @@ def _names_where(conditions: dict[str, Column]) -> Column:
                     lambda item: item.isNotNull())
 
 
-def risk_index(features: DataFrame) -> DataFrame:
-    """The transparent 0-100 index with its band, drivers and protective factors."""
-    data = features.withColumn("debt_equity_used", debt_to_equity(features))
-    risky, protective = rule_conditions(C("debt_equity_used"))
+def rule_points(risky: dict[str, Column], of=C) -> Column:
+    """Sum of the weights of the fired rules; the current ratio has two tiers."""
     score = F.lit(0.0)
     for name, condition in risky.items():
         points = F.lit(RULE_WEIGHTS[name])
         if name == "Current Ratio":
-            points = F.when(C("Current_Ratio") < 1.0, points).otherwise(F.lit(CURRENT_RATIO_MINOR_WEIGHT))
+            points = F.when(of("Current_Ratio") < 1.0, points).otherwise(F.lit(CURRENT_RATIO_MINOR_WEIGHT))
         score = score + F.when(condition, points).otherwise(F.lit(0.0))
+    return score
+
+
+def index_from(points: Column, protective: Column, observed: Column) -> Column:
+    relief = F.least(F.lit(PROTECTION_LIMIT), protective * F.lit(PROTECTION_STEP))
+    return F.when(observed >= 2, ratios.clip(points - relief, 0.0, 1.0) * 100)
+
+
+def risk_index(features: DataFrame) -> DataFrame:
+    """The transparent 0-100 index with its band, drivers and protective factors."""
+    data = features.withColumn("debt_equity_used", debt_to_equity(features))
+    risky, protective = rule_conditions(C("debt_equity_used"))
     data = data.withColumns({
-        "rule_risk_score": score,
+        "rule_risk_score": rule_points(risky),
         "risk_drivers": _names_where(risky),
         "protective_factors": _names_where(protective),
         "observed_core_fields": observed_fields(),
     })
-    relief = F.least(F.lit(PROTECTION_LIMIT), F.size("protective_factors") * F.lit(PROTECTION_STEP))
-    index = ratios.clip(C("rule_risk_score") - relief, 0.0, 1.0) * 100
-    return data.withColumn("risk_index", F.when(C("observed_core_fields") >= 2, index)).withColumn(
+    index = index_from(C("rule_risk_score"), F.size("protective_factors"), C("observed_core_fields"))
+    return data.withColumn("risk_index", index).withColumn(
         "risk_category", bands.risk_band3(C("risk_index") / 100))
 
 
