@@ -1 +1,51 @@
-QUERIES = {}
+"""Named monitoring queries between revisions of the data."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ratiowatch.operators import features, monitoring
+from ratiowatch.plans.records import screened
+from ratiowatch.schema import MONITORED_FEATURES
+from ratiowatch.sources import driver
+
+C = F.col
+
+
+def revisions(spark, sf_dir):
+    """Earlier and later half of the statements as two revisions of one dataset."""
+    data = features.engineer_features(driver.statements(spark, sf_dir)).select(
+        "company_id", F.year("period").alias("year"), *MONITORED_FEATURES)
+    return data.filter(C("year") <= 1998).drop("year"), data.filter(C("year") > 1998).drop("year")
+
+
+def q_snapshots(spark, sf_dir):
+    book = driver.loans(spark, sf_dir).select(
+        F.year("origination_date").alias("revision"), "customer_id", "loan_status", "risk_status", "segment")
+    return monitoring.snapshots(book, "revision")
+
+
+def q_psi(spark, sf_dir):
+    return monitoring.psi(*revisions(spark, sf_dir), list(MONITORED_FEATURES)).drop("place")
+
+
+def q_drift_report(spark, sf_dir):
+    return monitoring.drift_report(*revisions(spark, sf_dir)).drop("place")
+
+
+def scores(spark, sf_dir):
+    return screened(spark, sf_dir).select(F.year("period").alias("revision"), "risk_index")
+
+
+def q_prediction_stability(spark, sf_dir):
+    return monitoring.prediction_stability(scores(spark, sf_dir), "revision")
+
+
+def q_monitoring_alerts(spark, sf_dir):
+    drift = monitoring.drift_report(*revisions(spark, sf_dir))
+    return monitoring.monitoring_alerts(
+        drift, monitoring.prediction_stability(scores(spark, sf_dir), "revision"), "revision")
+
+
+QUERIES = {"snapshots": q_snapshots, "psi": q_psi, "drift_report": q_drift_report,
+           "prediction_stability": q_prediction_stability, "monitoring_alerts": q_monitoring_alerts}
