@@ -67,15 +67,20 @@ def low_cardinality(frame: DataFrame, columns: list[str], most: int) -> list[str
 
 
 def top_shares(frame: DataFrame, columns: list[str], rows: int = 5, fewest: int = 0, most: int | None = None) -> DataFrame:
-    """The largest values of each column with their share of non-null rows."""
+    """The largest values of each column with their share of non-null rows.
+
+    The rank filter is applied inside each task before the shuffle, and the totals are
+    one row per column, so a column may have any number of values.
+    """
     counts = value_counts(frame, columns)
-    by_variable = Window.partitionBy("variable")
-    ranked = counts.select(
-        "variable", "value", "records", F.count(F.lit(1)).over(by_variable).alias("values"),
-        (C("records") / F.sum("records").over(by_variable)).alias("share"),
-        F.row_number().over(by_variable.orderBy(C("records").desc(), C("value"))).alias("place"))
+    totals = counts.groupBy(C("variable").alias("total_variable")).agg(
+        F.count(F.lit(1)).alias("values"), F.sum("records").alias("total"))
+    place = F.row_number().over(Window.partitionBy("variable").orderBy(C("records").desc(), C("value")))
+    top = counts.withColumn("place", place).filter(C("place") <= rows)
+    joined = top.join(F.broadcast(totals), C("variable") == C("total_variable"))
     kept = (C("values") >= fewest) & (C("values") <= most if most else F.lit(True))
-    return ranked.filter(kept & (C("place") <= rows)).drop("values")
+    return joined.filter(kept).select(
+        "variable", "value", "records", (C("records") / C("total")).alias("share"), "place")
 
 
 def segment_concentration(frame: DataFrame, columns_limit: int = 6) -> DataFrame:

@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 from ratiowatch.operators import features, monitoring
 from ratiowatch.plans.records import screened
 from ratiowatch.schema import MONITORED_FEATURES
+from ratiowatch.session import cut_lineage
 from ratiowatch.sources import driver
 
 C = F.col
 
 
 def revisions(spark, sf_dir):
-    """Earlier and later half of the statements as two revisions of one dataset."""
-    data = features.engineer_features(driver.statements(spark, sf_dir)).select(
-        "company_id", F.year("period").alias("year"), *MONITORED_FEATURES)
+    """Earlier and later half of the statements as two revisions of one dataset.
+
+    Written once, because the stability index reads both sides more than once.
+    """
+    data = cut_lineage(features.engineer_features(driver.statements(spark, sf_dir)).select(
+        "company_id", F.year("period").alias("year"), *MONITORED_FEATURES))
     return data.filter(C("year") <= 1998).drop("year"), data.filter(C("year") > 1998).drop("year")
 
 

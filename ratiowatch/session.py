@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Write the rows to reliable storage so a lost executor never changes them."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write the rows once to the shared folder and read them back.
+
+    A lost executor then never changes what later steps see, and several passes read a
+    columnar table instead of repeating the work above it.
+    """
+    path = f"{ensure_checkpoint_dir(frame.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

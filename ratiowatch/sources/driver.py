@@ -187,3 +187,18 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id"), F.col("turn"), F.col("role").alias("author"),
         F.col("text").alias("note"), chain.alias("decision"))
+
+
+def messy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as an unfamiliar export: text amounts, text days, a year number and a status."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    amounts = messy_amounts(spark, sf_dir).select("o_orderkey", F.when(F.col("amount_text") != "", F.col("amount_text"))
+                                                  .alias("sanctioned_amount"))
+    kind = F.col("o_orderkey") % 10
+    return orders.join(amounts, "o_orderkey").select(
+        F.col("o_orderkey").alias("order_number"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("booked_on"),
+        F.year("o_orderdate").alias("financial_year"), "sanctioned_amount",
+        F.when(kind < 3, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("channel"),
+        F.col("o_orderstatus").alias("risk_flag"),
+        F.when(kind == 0, "true").otherwise(F.concat(F.lit("text "), kind.cast("string"))).alias("remark"))
