@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 FISCAL_YEAR = r"(?i)(?<!\d)(?:FY\s*)?(20\d{2})(?:\s*[-/]\s*(\d{2,4}))?(?!\d)"
 DAY_PREFIX = r"^(20\d{2})[-/](\d{1,2})[-/](\d{1,2})\b"
 OTHER_DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "d MMM yyyy", "d MMMM yyyy")
+OTHER_DATE_SHAPE = r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}/\d{2}/\d{4}|\d{1,2} [A-Za-z]{3,9} \d{4})$"
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
@@ -42,8 +43,11 @@ def parse_period(value: Column) -> Column:
         .otherwise(F.make_date(end, F.lit(12), F.lit(31)))
     )
     other = F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)).cast("date") for fmt in OTHER_DATE_FORMATS])
-    return (F.when(text.rlike(DAY_PREFIX) & whole_day.isNotNull(), whole_day)
-            .when(start.isNotNull(), fiscal).otherwise(other))
+    # Every layout holds a four-digit year; most text does not, and stops at one test.
+    # A failed format costs an exception, so only text shaped like a date is tried.
+    found = (F.when(text.rlike(DAY_PREFIX) & whole_day.isNotNull(), whole_day)
+             .when(start.isNotNull(), fiscal).when(text.rlike(OTHER_DATE_SHAPE), other))
+    return F.when(text.rlike(r"\d{4}"), found)
 
 
 def cohort_of_date(date: Column, freq: str = "year") -> Column:

@@ -202,3 +202,103 @@ def messy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind < 3, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("channel"),
         F.col("o_orderstatus").alias("risk_flag"),
         F.when(kind == 0, "true").otherwise(F.concat(F.lit("text "), kind.cast("string"))).alias("remark"))
+
+
+def _whole(value: Column) -> Column:
+    """A whole amount as people print it: thousands separators, brackets when negative."""
+    units = F.floor(value).cast("bigint")
+    shown = F.when(units < 0, F.concat(F.lit("("), F.format_number(-units, 0), F.lit(")"))).otherwise(
+        F.format_number(units, 0))
+    return F.coalesce(shown, F.lit("-"))
+
+
+def _fiscal(year: Column) -> Column:
+    later = year + 20
+    return F.concat(F.lit("FY "), later.cast("string"), F.lit("-"), F.lpad(((later + 1) % 100).cast("string"), 2, "0"))
+
+
+def wide_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One grid per company: a unit note, a header row, then one row per year."""
+    data = statements(spark, sf_dir)
+    year = F.year("period")
+    body = data.select(
+        F.col("company_id").alias("table_id"), (year - 1988).alias("row_no"),
+        F.array(F.concat(F.lit("Customer "), "company_id"), _fiscal(year), _whole(F.col("Revenue")),
+                _whole(F.col("Net_Profit")), _whole(F.col("Total_Assets"))).alias("cells"))
+    note = F.array(F.lit("All figures in Rs. Thousands"), *[F.lit(None).cast("string")] * 4)
+    head = F.array(*[F.lit(t) for t in ("Company Name", "Financial Year", "Turnover", "Net Profit (Rs. Lakh)", "Total Assets")])
+    heads = data.select(F.col("company_id").alias("table_id")).distinct().select(
+        "table_id", F.posexplode(F.array(note, head)).alias("row_no", "cells"))
+    return body.unionByName(heads)
+
+
+GRID_YEARS = range(1995, 2002)
+GRID_ITEMS = {"Revenue": "Revenue", "Profit After Tax": "Net_Profit", "Trade Receivables": "Accounts_Receivable",
+              "Inventories": "Inventory", "Total Assets": "Total_Assets"}
+
+
+def transposed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One grid per company: items down the rows, fiscal years across."""
+    data = statements(spark, sf_dir)
+    years = data.groupBy("company_id").agg(*[
+        F.max(F.when(F.year("period") == y, F.col(m))).alias(f"{m}_{y}") for m in GRID_ITEMS.values() for y in GRID_YEARS])
+    head = F.array(F.lit("Particulars (Rs. in Thousands)"), *[
+        F.lit(f"FY {y + 20}-{(y + 21) % 100:02d}") for y in GRID_YEARS])
+    rows = [head] + [F.array(F.lit(item), *[_whole(F.col(f"{m}_{y}")) for y in GRID_YEARS])
+                     for item, m in GRID_ITEMS.items()]
+    return years.select(F.col("company_id").alias("table_id"), F.posexplode(F.array(*rows)).alias("row_no", "cells"))
+
+
+def long_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One grid per company: item, reporting period and amount on every row; no totals."""
+    data = statements(spark, sf_dir)
+    year = F.year("period")
+    items = {"Net Sales": F.col("Revenue"), "Short term borrowings": F.col("Debt") * 0.25,
+             "Long-term borrowings": F.col("Debt") * 0.75, "Trade payables": F.col("Current_Liabilities") * 0.5,
+             "Cash & bank balances": F.col("Revenue") * 0.125, "Debtors": F.col("Accounts_Receivable"),
+             "Stock": F.col("Inventory")}
+    rows = F.array(*[F.struct((place + (year - 1994) * 10).alias("row_no"),
+                              F.array(F.lit(item), _fiscal(year), _whole(value)).alias("cells"))
+                     for place, (item, value) in enumerate(items.items())])
+    body = data.select(F.col("company_id").alias("table_id"), F.explode(rows).alias("r")).select("table_id", "r.*")
+    head = data.select(F.col("company_id").alias("table_id")).distinct().select(
+        "table_id", F.lit(0).alias("row_no"), F.array(*[F.lit(t) for t in ("Line Item", "Reporting Period", "Amount")]).alias("cells"))
+    return body.unionByName(head)
+
+
+def text_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One short text per company and year, as a document parser would leave it."""
+    data = statements(spark, sf_dir)
+    body = F.concat_ws(
+        "\n", F.concat(F.lit("Company Name: Customer "), "company_id"),
+        F.concat(F.lit("Financial Year: "), F.substring(_fiscal(F.year("period")), 4, 7)),
+        F.lit("Amounts in Rs. Thousands"), F.lit(""),
+        F.concat(F.lit("Revenue: Rs. "), _whole(F.col("Revenue"))),
+        F.concat(F.lit("PAT | "), _whole(F.col("Net_Profit"))),
+        F.concat(F.lit("Total Assets   "), _whole(F.col("Total_Assets")), F.lit(" Lakhs")),
+        F.lit("Prepared by the accounts team"))
+    return data.select("record_id", "company_id", "period", body.alias("text"))
+
+
+def borrower_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a borrower file with two income columns and units in the headers."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice")
+    amounts = messy_amounts(spark, sf_dir).select("o_orderkey", "amount_text")
+    year = F.year("o_orderdate")
+    return orders.join(amounts, "o_orderkey").select(
+        F.col("o_orderkey").alias("seq"), F.col("o_custkey").cast("string").alias("Borrower ID"),
+        _fiscal(year).alias("Financial Year"),
+        F.col("amount_text").alias("Turnover (Rs. Lakh)"), F.col("o_totalprice").cast("string").alias("Annual Income"),
+        F.concat(F.floor(F.col("o_totalprice") / 1000).cast("string"), F.lit(" lakh")).alias("Loan Amount"),
+        F.col("o_orderstatus").alias("Repayment-Status"))
+
+
+def company_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a statement export with several partial rows per company and year."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    kind, price = F.col("o_orderkey") % 3, _whole(F.col("o_totalprice"))
+    return orders.select(
+        F.col("o_orderkey").alias("seq"), F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("Company Name"),
+        _fiscal(F.year("o_orderdate")).alias("Financial Year"),
+        F.when(kind == 0, price).alias("Turnover (Rs. Thousand)"), F.when(kind == 1, price).alias("Borrowings"),
+        F.when(kind == 2, price).alias("Current Assets"))
