@@ -57,6 +57,8 @@ SQL = {
       GROUP BY 1,2""",
     "header_row": sql("statements", """SELECT company_id AS table_id, 1 AS header_row, 5 AS score, 'wide' AS layout FROM statements GROUP BY 1
       UNION ALL SELECT company_id, 0, 2, 'long' FROM statements GROUP BY 1"""),
+    "layout_kind": sql("statements", """SELECT true AS items_by_year, false AS loan_table, count(DISTINCT company_id)*5 AS n_rows
+      FROM statements"""),
     "wide_records": sql("statements", f"""SELECT company_id AS table_id, 'Customer '||company_id AS company_id, {FY.format(d='period')} AS period,
       floor(Revenue)*1000 AS Revenue, floor(Net_Profit)*100000 AS Net_Profit, floor(Total_Assets)*1000 AS Total_Assets FROM statements"""),
     "transposed_statement": sql("statements", f"""SELECT company_id, {FY.format(d='period')} AS period, floor(Revenue)*1000 AS Revenue,

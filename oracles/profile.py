@@ -169,4 +169,21 @@ SQL = {
         SELECT 'Net_Profit' AS variable, avg(CASE WHEN Net_Profit<0 THEN 1 WHEN Net_Profit>=0 THEN 0 END) AS x FROM statements UNION ALL
         SELECT 'Cash_Flow_Operations', avg(CASE WHEN Cash_Flow_Operations<0 THEN 1 WHEN Cash_Flow_Operations>=0 THEN 0 END) FROM statements) WHERE x>0)""",
                             LNGD + "," + TREND),
+    "dataset_type": """SELECT 'loans' AS table_name, 'Mixed dataset' AS dataset_type, count(*) AS n_rows FROM orders
+      UNION ALL SELECT 'events', 'Time series dataset', count(*) FROM events""",
+    "ranked_columns": sql("loans", """SELECT 'category' AS kind, CAST(row_number() OVER (ORDER BY place, d, m)-1 AS INT) AS place, variable FROM (
+        SELECT 'segment' AS variable, 0 AS place, count(DISTINCT segment) AS d, count(*)-count(segment) AS m FROM loans
+        UNION ALL SELECT 'region', 1, count(DISTINCT region), 0 FROM loans
+        UNION ALL SELECT 'loan_status', 2, count(DISTINCT loan_status), 0 FROM loans
+        UNION ALL SELECT 'risk_status', 2, count(DISTINCT risk_status), count(*)-count(risk_status) FROM loans)
+      UNION ALL SELECT 'numeric', CAST(row_number() OVER (ORDER BY d DESC)-1 AS INT), variable FROM (
+        SELECT 'loan_amount' AS variable, count(DISTINCT loan_amount) AS d FROM loans
+        UNION ALL SELECT 'credit_score', count(DISTINCT credit_score) FROM loans)"""),
+    "profile_findings": sql("statements", f"""SELECT printf('%d rows and %d columns; %.1f%% of cells are missing.', count(*), 16,
+        round(sum({CELLS})*100::DOUBLE/(count(*)*16),6)) AS finding FROM statements
+      UNION ALL SELECT '14 numeric, 1 categorical and 1 date columns.'
+      UNION ALL SELECT printf('%d duplicate rows.', count(*)-count(DISTINCT record_id)) FROM statements
+      UNION ALL SELECT * FROM (SELECT printf('Strongest association: %s with %s (%.2f).', variable_a, variable_b, abs(c)) FROM prs WHERE c IS NOT NULL
+        ORDER BY abs(c) DESC, i, j LIMIT 1)
+      UNION ALL SELECT 'Trend of '||variable||': '||lower(direction) FROM trend""", pairs(NUM) + "," + LNGD + "," + TREND),
 }

@@ -23,6 +23,8 @@ SQL = {
       CAST(row_number() OVER (ORDER BY count(*) DESC, variable) AS INT) AS place FROM opt GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30""", OPTIONS),
     "numeric_bounds": sql("loans", """SELECT 'credit_score' AS variable, min(credit_score)::DOUBLE AS low, max(credit_score)::DOUBLE AS high FROM loans
       UNION ALL SELECT 'loan_amount', min(loan_amount), max(loan_amount) FROM loans"""),
+    "plot_sample": sql("loans", """SELECT loan_id, loan_amount, credit_score FROM loans
+      ORDER BY md5(CAST(loan_id AS VARCHAR)||':42'), loan_id LIMIT 5000"""),
     "notes_valid": sql("", "SELECT conv_id, turn, author, decision, CAST(length(note) AS INT) AS note_length, problem FROM jd", NOTE),
     "decision_counts": sql("", """SELECT decision, count(*) AS notes, round(count(*)*100::DOUBLE/(SELECT count(*) FROM jd WHERE problem IS NULL),6)
       AS share_percent FROM jd WHERE problem IS NULL GROUP BY 1""", NOTE),

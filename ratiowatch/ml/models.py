@@ -163,7 +163,7 @@ def holdout(shape: TableShape, target: str, key: str, trees: int = 120) -> DataF
         forest = RandomForestClassifier(numTrees=trees, minInstancesPerNode=2, maxDepth=8, seed=42, labelCol="label")
     else:
         data = data.withColumn("label", C(target).cast("double"))
-        forest = RandomForestRegressor(numTrees=trees, minInstancesPerNode=2, maxDepth=8, seed=42, labelCol="label")
+        forest = RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", minInstancesPerNode=2, maxDepth=8, seed=42, labelCol="label")
     fitted = Pipeline(stages=[*stages, forest]).fit(data.filter(~C("is_test")))
     predicted = fitted.transform(data.filter("is_test"))
     rows = [("metric", n, v) for n, v in (_class_metrics(predicted) if classify else _number_metrics(predicted)).items()]

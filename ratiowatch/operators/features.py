@@ -97,7 +97,7 @@ def engineer_features(frame: DataFrame, unbounded_history: bool = False) -> Data
     data = complete_columns(frame).withColumns(ratio_expressions())
     wanted = ["Revenue", *PRIOR_RATIOS]
     if "company_id" in data.columns and "period" in data.columns:
-        data = data.withColumn("period", C("period").cast("date"))
+        data = data.withColumn("period", C("period").cast("string").try_cast("date"))
         if unbounded_history:
             data = ordered.prior_values(data, "company_id", ["period", "record_id"], ["period", *wanted])
         else:

@@ -61,16 +61,20 @@ def portfolio_risk(frame: DataFrame) -> DataFrame:
 
 
 def portfolio_summary(rows: DataFrame) -> DataFrame:
-    """One row of totals over ``portfolio_risk`` rows."""
+    """One row of totals over ``portfolio_risk`` rows; figures without a column are null."""
     defaulted = C("observed_default")
     band = C("portfolio_risk_category")
+    owner = first_present(rows, ("customer_id", "loan_id", "customer_name", "company_id"))
+    score = ratios.finite(C("credit_score")) if "credit_score" in rows.columns else F.lit(None).cast("double")
+    amount = ratios.finite(C("loan_amount")) if "loan_amount" in rows.columns else F.lit(None).cast("double")
     return rows.agg(
-        F.count(F.lit(1)).alias("records"), F.countDistinct("customer_id").alias("unique_customers"),
+        F.count(F.lit(1)).alias("records"),
+        (F.countDistinct(owner) if owner else F.lit(None).cast("bigint")).alias("unique_customers"),
         F.count_if(defaulted).alias("observed_defaults"), F.count(defaulted).alias("observed_coverage"),
         F.try_divide(F.count_if(defaulted), F.count(defaulted)).alias("observed_default_rate"),
-        F.avg("credit_score").alias("average_credit_score"),
-        F.round(F.avg("loan_amount"), 4).alias("average_loan_amount"),
-        F.round(F.sum("loan_amount"), 2).alias("total_loan_amount"),
+        F.avg(score).alias("average_credit_score"),
+        F.round(F.avg(amount), 4).alias("average_loan_amount"),
+        F.round(F.sum(amount), 2).alias("total_loan_amount"),
         F.count_if(band == "High Risk").alias("high_records"),
         F.count_if(band == "Moderate Risk").alias("moderate_records"),
         F.count_if(band == "Low Risk").alias("low_records"),
@@ -213,13 +217,16 @@ def vintage_findings(cohorts: DataFrame) -> DataFrame:
 
 
 def analyze(frame: DataFrame) -> dict[str, DataFrame]:
-    """The whole loan-book analysis as named tables."""
+    """The loan-book analysis as named tables, as far as the columns allow."""
     rows = portfolio_risk(frame)
+    tables = {"customers": rows, "summary": portfolio_summary(rows)}
+    if first_present(rows, AMOUNT_COLUMNS) is None or first_present(rows, COHORT_COLUMNS) is None:
+        return tables
     per_borrower = borrower_exposure(rows)
     metrics = concentration(per_borrower)
     cohorts = vintages(rows)
     return {
-        "customers": rows, "summary": portfolio_summary(rows), "concentration": metrics,
+        **tables, "concentration": metrics,
         "top_exposures": top_exposures(per_borrower), "exposure_by_band": exposure_by_band(rows),
         "vintage": cohorts,
         "findings": concentration_findings(metrics).unionByName(vintage_findings(cohorts)),

@@ -19,7 +19,7 @@ from ratiowatch.operators.typing_rules import TableShape, long_values, ranked_nu
 from ratiowatch.functions.text import header_alnum_key
 
 C = F.col
-MISSING = F.lit("Missing")
+MISSING = "Missing"
 SAMPLE_PROBE_ROWS = 200
 
 
@@ -86,7 +86,7 @@ def numeric_summary(shape: TableShape) -> DataFrame:
 def top_values(shape: TableShape, columns: list[str], most: int) -> DataFrame:
     """Most frequent values per column, null as "Missing". The rank filter runs inside
     each task before the shuffle, so a column may have any number of values."""
-    counts = long_values(shape.data, columns).withColumn("value", F.coalesce("value", MISSING)).groupBy(
+    counts = long_values(shape.data, columns).withColumn("value", F.coalesce("value", F.lit(MISSING))).groupBy(
         "variable", "value").agg(F.sum("records").alias("records"))
     place = F.row_number().over(Window.partitionBy("variable").orderBy(C("records").desc(), C("value")))
     return counts.withColumn("place", place).filter(C("place") <= most)
@@ -211,7 +211,7 @@ def record_frequency(shape: TableShape) -> DataFrame:
 
 
 def target_distribution(shape: TableShape, target: str) -> DataFrame:
-    counts = shape.data.groupBy(F.coalesce(C(target).cast("string"), MISSING).alias("target_value")).agg(
+    counts = shape.data.groupBy(F.coalesce(C(target).cast("string"), F.lit(MISSING)).alias("target_value")).agg(
         F.count(F.lit(1)).alias("records"))
     return counts.withColumn("share_percent", F.round(C("records") * 100.0 / shape.rows, 6))
 
@@ -221,7 +221,7 @@ def risk_segments(shape: TableShape, target: str, most: int = 3) -> DataFrame:
     columns = [c for c in shape.categorical if c != target and shape.distinct[c] <= 20]
     rows = shape.data.select(
         status.is_risk_label(C(target)).cast("int").alias("is_risk"),
-        *[F.coalesce(C(c).cast("string"), MISSING).alias(c) for c in columns])
+        *[F.coalesce(C(c).cast("string"), F.lit(MISSING)).alias(c) for c in columns])
     grouped = rows.unpivot(["is_risk"], columns, "variable", "group_value").groupBy("variable", "group_value").agg(
         F.count(F.lit(1)).alias("records"), F.sum("is_risk").alias("risk_records"))
     rate = C("risk_records") * 100.0 / C("records")
@@ -323,7 +323,7 @@ def financial_metrics(shape: TableShape, order_key: str, unbounded_history: bool
     if chosen["Revenue growth"] is None and m["Revenue"] is not None and period in shape.dates:
         company = find(COMPANY_FIELDS)
         dated = shape.data.select(
-            (F.coalesce(C(company).cast("string"), MISSING) if company else F.lit("all")).alias("company"),
+            (F.coalesce(C(company).cast("string"), F.lit(MISSING)) if company else F.lit("all")).alias("company"),
             C(period).alias("period"), m["Revenue"].alias("revenue"), C(order_key).alias("row_key"),
         ).filter(C("period").isNotNull() & C("revenue").isNotNull())
         if unbounded_history or company is None:
@@ -379,7 +379,7 @@ def histogram(shape: TableShape, columns: list[str] | None = None, bins: int | N
 def median_by_category(shape: TableShape, categories: list[str], metric: str, most: int = 12) -> DataFrame:
     used = [c for c in categories if shape.distinct[c] <= most]
     rows = shape.data.filter(C(metric).isNotNull()).select(
-        C(metric).alias("metric_value"), *[F.coalesce(C(c).cast("string"), MISSING).alias(c) for c in used])
+        C(metric).alias("metric_value"), *[F.coalesce(C(c).cast("string"), F.lit(MISSING)).alias(c) for c in used])
     long = rows.unpivot(["metric_value"], used, "variable", "group_value")
     return exact_median(long, ["variable", "group_value"], "metric_value").select(
         "variable", "group_value", F.round("median", 6).alias("median"))

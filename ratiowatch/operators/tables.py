@@ -84,4 +84,5 @@ def page(frame: DataFrame, column: str, key: str, number: int, size: int, ascend
 
 def plot_sample(frame: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
     """A fixed-size sample that is the same on every run and partitioning."""
-    return frame.orderBy(F.xxhash64(C(key), F.lit(seed)), C(key)).limit(rows)
+    place = F.md5(F.concat_ws(":", C(key).cast("string"), F.lit(str(seed))))
+    return frame.orderBy(place, C(key)).limit(rows)

@@ -17,7 +17,7 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
         raise ValueError("The file is empty.")
     counts = {s: min(line.count(s) for line in head) for s in SEPARATORS}
     separator = max(SEPARATORS, key=lambda s: counts[s])
-    broken = lines.filter(F.col("value").contains("�")).limit(1).count()
+    broken = lines.filter(~F.is_valid_utf8("value")).limit(1).count()
     return separator, "ISO-8859-1" if broken else "UTF-8"
 
 
