@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from ratiowatch.functions.ratios import finite
+from ratiowatch.functions.text import lookup
 
 # Suffix -> multiplier, and the patterns around an amount.
 TRAILING_SCALES = {
@@ -14,33 +14,32 @@ TRAILING_SCALES = {
     "crore": 1e7, "crores": 1e7, "cr": 1e7, "million": 1e6, "mn": 1e6, "billion": 1e9, "bn": 1e9,
 }
 TRAILING_SCALE = r"(?i)\s*(thousand|million|billion|lakhs?|lacs?|crores?|cr|mn|bn|k)\s*$"
-BLANK_AMOUNTS = ("", "na", "n/a", "null", "none", "-", "--")
 CURRENCY_SIGNS = "[₹$€£]"
 CURRENCY_WORDS = r"(?i)\b(?:rs\.?|inr\b|usd\b|eur\b|gbp\b)"
 PLAIN_NUMBER = r"^[-+]?\d*\.?\d+([eE][-+]?\d+)?$"
 UNIT_SCALES = ((r"\b(crores?|crs?)\b", 1e7), (r"\b(lakhs?|lacs?)\b", 1e5),
                (r"\bmillions?\b", 1e6), (r"\bthousands?\b", 1e3))
 UNIT_WORDS = r"(?i)\b(crores?|crs?|lakhs?|lacs?|millions?|thousands?)\b"
-BLANK_SCALED = ("", "-", "–", "—", "na", "n/a", "nil", "none")
+ANY_UNIT = r"(?i)cr|la[ck]|million|thousand"
+RUPEE_DOT = r"(?i)r[\s,]*s[\s,]*\."
 UNIT_LINE = r"\b(amounts?|figures?|values?|financial statements?)\b"
 
 
 def parse_amount(value: Column, percent_as_fraction: bool = False) -> Column:
-    """Amounts in general tables. A percent sign is dropped unless asked otherwise."""
+    """Amounts in general tables. A percent sign is dropped unless asked otherwise.
+
+    The blank words hold no digit, so they fail the number pattern like any other text.
+    """
     text = F.trim(value.cast("string"))
-    suffix = F.lower(F.regexp_extract(text, TRAILING_SCALE, 1))
-    scale = F.lit(1.0)
-    for word, factor in TRAILING_SCALES.items():
-        scale = F.when(suffix == word, F.lit(factor)).otherwise(scale)
-    body = F.regexp_replace(text, TRAILING_SCALE, "")
-    body = F.regexp_replace(F.regexp_replace(body, CURRENCY_SIGNS, ""), CURRENCY_WORDS, "")
-    body = F.trim(F.regexp_replace(body, r"[,%()]", ""))
+    scale = F.coalesce(lookup(F.lower(F.regexp_extract(text, TRAILING_SCALE, 1)), TRAILING_SCALES), F.lit(1.0))
+    body = F.regexp_replace(F.regexp_replace(text, TRAILING_SCALE, ""), CURRENCY_SIGNS, "")
+    body = F.trim(F.regexp_replace(body, CURRENCY_WORDS + r"|[,%()]", ""))
     number = F.when(body.rlike(PLAIN_NUMBER), body.try_cast("double"))
-    bracketed = text.startswith("(") & text.endswith(")")
-    signed = F.when(bracketed, -F.abs(number)).otherwise(number)
+    signed = F.when(text.startswith("(") & text.endswith(")"), -F.abs(number)).otherwise(number)
     if percent_as_fraction:
         signed = F.when(text.contains("%"), signed / 100).otherwise(signed)
-    return F.when(~F.lower(text).isin(*BLANK_AMOUNTS), finite(signed * scale))
+    amount = signed * scale
+    return F.when(F.when(text.rlike("[0-9]"), F.abs(amount)) < F.lit(float("inf")), amount)
 
 
 def unit_scale(value: Column) -> Column:
@@ -58,17 +57,18 @@ def header_unit_scale(name: str) -> float:
 
 
 def parse_scaled_amount(value: Column, scale: Column) -> Column:
-    """Amounts in statements: a unit in the cell beats the scale of its header."""
+    """Amounts in statements: a unit in the cell beats the scale of its header.
+
+    Text without a digit stops at the first test, and text without a unit at the second.
+    """
     text = F.trim(value.cast("string"))
-    own = unit_scale(text)
-    factor = F.when(own != 1.0, own).otherwise(scale)
-    body = F.regexp_replace(text, UNIT_WORDS, "")
-    bracketed = body.startswith("(") & body.endswith(")")
-    body = F.regexp_replace(F.regexp_replace(body, r"^[()]+|[()]+$", ""), "[, ]", "")
-    body = F.regexp_replace(F.regexp_replace(body, r"(?i)(₹|rs\.?|inr|rupees?)", ""), r"[^0-9.+\-]", "")
-    number = F.when(body.rlike(r"\d"), body.try_cast("double"))
-    signed = F.when(bracketed, -number).otherwise(number) * factor
-    return F.when(~F.lower(text).isin(*BLANK_SCALED), signed)
+    has_unit = text.rlike(ANY_UNIT)
+    own = F.when(has_unit, unit_scale(text)).otherwise(F.lit(1.0))
+    stripped = F.when(has_unit, F.regexp_replace(text, UNIT_WORDS, "")).otherwise(text)
+    body = F.regexp_replace(F.regexp_replace(stripped, RUPEE_DOT, ""), r"[^0-9.+\-]", "")
+    number = body.try_cast("double") * F.coalesce(F.nullif(own, F.lit(1.0)), scale)
+    bracketed = stripped.startswith("(") & stripped.endswith(")")
+    return F.when(text.rlike("[0-9]"), F.when(bracketed, -number).otherwise(number))
 
 
 def growth_fraction(value: Column) -> Column:

@@ -22,7 +22,8 @@ def alnum_key(value: Column) -> Column:
 
 def label_key(value: Column) -> Column:
     text = F.replace(F.lower(value.cast("string")), F.lit("&"), F.lit(" and "))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, BRACKETED, " "), NON_ALNUM, " "))
+    bare = F.when(text.contains("(") | text.contains("["), F.regexp_replace(text, BRACKETED, " ")).otherwise(text)
+    return F.trim(F.regexp_replace(bare, NON_ALNUM, " "))
 
 
 def header_spaced_key(name: str) -> str:
@@ -43,7 +44,7 @@ def search_text(frame: DataFrame, columns: list[str] | None = None) -> Column:
     return F.lower(F.concat_ws(" ", *cells))
 
 
-def lookup(key: Column, mapping: dict[str, str]) -> Column:
+def lookup(key: Column, mapping: dict) -> Column:
     """Vocabulary lookup by a literal map; null for an unknown key."""
     pairs = [F.lit(part) for item in mapping.items() for part in item]
     return F.try_element_at(F.create_map(*pairs), key)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ratiowatch.functions import numbers, periods, text
 from ratiowatch.operators import headers, merging
+from ratiowatch.session import cut_lineage
 from ratiowatch.schema import (COMPANY_HEADERS, COMPONENT_COLUMNS, FINANCIAL_COLUMNS, ITEM_HEADERS, METRIC_LABELS,
                                PERIOD_HEADERS, VALUE_HEADERS)
 
@@ -29,25 +30,29 @@ def metric_of(cell: Column) -> Column:
     return text.lookup(text.label_key(cell), METRIC_LABELS)
 
 
-def _known(cell: Column, names) -> Column:
-    return F.coalesce(text.label_key(cell).isin(*names), F.lit(False))
+def _any_of(keys: Column, names) -> Column:
+    return F.arrays_overlap(F.filter(keys, lambda k: k.isNotNull()), F.array(*[F.lit(n) for n in names]))
 
 
 def header_scores(grid: DataFrame) -> DataFrame:
     """Score of every possible header row among the first rows of each table."""
-    head = grid.filter(C("row_no") < HEADER_PROBE_ROWS)
-    metrics = F.size(F.filter("cells", lambda c: metric_of(c).isNotNull()))
-    dated = F.exists("cells", lambda c: periods.parse_period(c).isNotNull() | _known(c, PERIOD_HEADERS))
-    itemised = F.exists("cells", lambda c: _known(c, (*COMPANY_HEADERS, *ITEM_HEADERS)))
-    valued = F.exists("cells", lambda c: _known(c, VALUE_HEADERS))
-    scored = head.select("table_id", "row_no", "cells", metrics.alias("metrics"), dated.alias("dated"),
-                         itemised.alias("itemised"), valued.alias("valued"))
+    head = grid.filter(C("row_no") < HEADER_PROBE_ROWS).select(
+        "table_id", "row_no", "cells", F.transform("cells", text.label_key).alias("keys"),
+        F.exists(periods.parse_periods(C("cells")), lambda p: p.isNotNull()).alias("has_date"))
+    metrics = F.size(F.filter("keys", lambda k: text.lookup(k, METRIC_LABELS).isNotNull()))
+    scored = head.select(
+        "table_id", "row_no", "cells", metrics.alias("metrics"), (C("has_date") | _any_of(C("keys"), PERIOD_HEADERS)).alias("dated"),
+        _any_of(C("keys"), (*COMPANY_HEADERS, *ITEM_HEADERS)).alias("itemised"), _any_of(C("keys"), VALUE_HEADERS).alias("valued"))
     fits = ((C("metrics") >= 2) | ((C("metrics") >= 1) & (C("dated") | C("itemised")))
             | (C("itemised") & (C("dated") | C("valued"))))
     return scored.withColumns({
         "score": C("metrics") + C("dated").cast("int") + C("itemised").cast("int"), "fits": fits})
 
 
+def _known(cell: Column, names) -> Column:
+    return F.coalesce(text.label_key(cell).isin(*names), F.lit(False))
+
+
 def header_row(grid: DataFrame) -> DataFrame:
     """Best header row per table, the first one on equal scores."""
     ranked = header_scores(grid).filter("fits")
@@ -77,7 +82,7 @@ def table_heads(grid: DataFrame) -> DataFrame:
         "table_id", "header_row", "header", scale.alias("table_scale"),
         F.transform("header", metric_of).alias("metrics"),
         F.transform("header", numbers.unit_scale).alias("scales"),
-        F.transform("header", periods.parse_period).alias("header_periods"),
+        periods.parse_periods(C("header")).alias("header_periods"),
         _place("header", lambda c: _known(c, PERIOD_HEADERS)).alias("period_col"),
         _place("header", lambda c: _known(c, COMPANY_HEADERS)).alias("company_col"),
         _place("header", lambda c: _known(c, VALUE_HEADERS)).alias("value_col"))
@@ -122,15 +127,19 @@ def wide_records(grid: DataFrame, heads: DataFrame | None = None) -> DataFrame:
 
 
 def item_rows(grid: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """Metric rows of tables that list items down the rows: years across, or one value column."""
+    """Metric rows of tables that list items down the rows: years across, or one value column.
+
+    The labelled body is read twice, to find each table's label column and to read the
+    values, so it is written once.
+    """
     facts = (heads if heads is not None else table_heads(grid)).filter(
-        ~F.exists("metrics", lambda m: m.isNotNull()))
-    rows = body_rows(grid, facts)
-    hits = rows.select("table_id", F.posexplode("cells").alias("col_no", "cell")).groupBy("table_id", "col_no").agg(
-        F.count_if(metric_of(C("cell")).isNotNull()).alias("hits"))
+        ~F.exists("metrics", lambda m: m.isNotNull())).drop("header", "metrics", "company_col")
+    rows = cut_lineage(body_rows(grid, facts).withColumn("cell_metrics", F.transform("cells", metric_of)))
+    hits = rows.select("table_id", F.posexplode("cell_metrics").alias("col_no", "found")).groupBy("table_id", "col_no").agg(
+        F.count("found").alias("hits"))
     label = hits.groupBy("table_id").agg(F.max_by("col_no", F.struct(C("hits"), -C("col_no"))).alias("label_col"),
                                          F.max("hits").alias("hits")).filter(C("hits") > 0).drop("hits")
-    marked = rows.join(label, "table_id").withColumn("metric", metric_of(F.get("cells", C("label_col"))))
+    marked = rows.join(label, "table_id").withColumn("metric", F.get("cell_metrics", C("label_col")))
     marked = marked.filter(C("metric").isNotNull())
     places = F.filter(
         F.transform("header_periods", lambda p, i: F.struct(i.alias("col_no"), p.alias("period"))),
@@ -166,7 +175,7 @@ def text_metric_rows(documents: DataFrame, key: str, column: str, fallback: Colu
     """(document, company, period, metric, value) from label lines of whole texts."""
     documents = documents.select(key, C(column).alias("whole"), fallback.alias("stem"), lines_of(C(column)).alias("lines"))
     lines = C("lines")
-    dated = F.array_distinct(F.filter(F.transform(lines, periods.parse_period), lambda p: p.isNotNull()))
+    dated = F.array_distinct(F.filter(periods.parse_periods(lines), lambda p: p.isNotNull()))
     hinted = F.filter(lines, lambda l: F.lower(l).rlike(numbers.UNIT_LINE) & (numbers.unit_scale(l) != 1.0))
     facts = documents.select(
         key, document_company(C("whole"), C("stem")).alias("company_id"),
@@ -174,15 +183,17 @@ def text_metric_rows(documents: DataFrame, key: str, column: str, fallback: Colu
         F.when(F.size(hinted) > 0, numbers.unit_scale(F.get(hinted, 0))).otherwise(F.lit(1.0)).alias("scale"),
         F.posexplode(lines).alias("line_no", "line"))
     labels = sorted(METRIC_LABELS, key=len, reverse=True)
-    parts = F.split("line", PART_BREAK)
+    facts = facts.withColumn("parts", F.split("line", PART_BREAK))
+    facts = facts.withColumn("direct", metric_of(F.get("parts", 0)))
+    parts = C("parts")
     leading = F.regexp_extract(text.label_key(C("line")), "^(" + "|".join(labels) + ") ", 1)
-    direct = metric_of(F.get(parts, 0))
+    direct = C("direct")
     rest = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), " ")
     marked = facts.select(
         "*", F.coalesce(direct, text.lookup(leading, METRIC_LABELS)).alias("metric"),
         F.when(direct.isNotNull(), rest).otherwise(F.trim(F.substr("line", F.length(leading) + 1))).alias("value_text"))
     marked = marked.filter(C("metric").isNotNull())
-    years = F.transform(F.regexp_extract_all("value_text", F.lit(periods.FISCAL_YEAR), F.lit(0)), periods.parse_period)
+    years = periods.parse_periods(F.regexp_extract_all("value_text", F.lit(periods.FISCAL_YEAR), F.lit(0)))
     tokens = F.filter(F.regexp_extract_all("value_text", F.lit(AMOUNT_TOKEN), F.lit(1)),
                       lambda t: periods.parse_period(t).isNull())
     rows = marked.select("*", years.alias("years"), F.posexplode(tokens).alias("token_no", "token"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ratiowatch.functions import numbers, periods, text
 from ratiowatch.operators import documents, headers, merging
-from ratiowatch.session import cut_lineage, ensure_checkpoint_dir
+from ratiowatch.session import ensure_checkpoint_dir
 from ratiowatch.sources import delimited, driver
 
 import uuid
@@ -82,18 +82,18 @@ def q_wide_records(spark, sf_dir):
 
 
 def q_transposed_statement(spark, sf_dir):
-    rows = documents.item_rows(cut_lineage(driver.transposed_grid(spark, sf_dir)))
+    rows = documents.item_rows(driver.transposed_grid(spark, sf_dir))
     return merging.metric_rows_to_records(rows, "row_no").filter(C("Revenue").isNotNull()).select(
         "company_id", "period", "Revenue", "Net_Profit", "Accounts_Receivable", "Inventory", "Total_Assets")
 
 
 def q_long_statement(spark, sf_dir):
-    return documents.item_rows(cut_lineage(driver.long_grid(spark, sf_dir))).select(
+    return documents.item_rows(driver.long_grid(spark, sf_dir)).select(
         "company_id", "period", "metric", "value")
 
 
 def q_merge_records(spark, sf_dir):
-    rows = documents.item_rows(cut_lineage(driver.long_grid(spark, sf_dir)))
+    rows = documents.item_rows(driver.long_grid(spark, sf_dir))
     return merging.metric_rows_to_records(rows, "row_no").select(
         "company_id", "period", "Revenue", "Debt", "Current_Assets", "Current_Liabilities", "Accounts_Receivable", "Inventory")
 
