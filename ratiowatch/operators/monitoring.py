@@ -41,7 +41,7 @@ def psi(baseline: DataFrame, current: DataFrame, columns: list[str], bins: int =
     """
     base, latest = to_long(baseline, [], columns), to_long(current, [], columns)
     names = {f"e{i}": i / bins for i in range(bins + 1)}
-    quantiles = exact_quantiles(base, ["variable"], "value", names)
+    quantiles = exact_quantiles(base, ["variable"], "value", names, bounded_groups=True)
     all_edges = F.array_distinct(F.array(*names))
     edges = quantiles.select(C("variable").alias("edge_variable"), all_edges.alias("edges"))
     edges = edges.withColumn("inner", F.when(F.size("edges") > 2, F.slice("edges", F.lit(2), F.size("edges") - 2)))

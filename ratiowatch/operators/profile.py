@@ -73,7 +73,7 @@ def dataset_quality(shape: TableShape) -> DataFrame:
 def numeric_summary(shape: TableShape) -> DataFrame:
     rows = to_long(shape.data, [], shape.numeric)
     marks = exact_quantiles(rows, ["variable"], "value",
-                            {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
+                            {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}, True)
     moments = rows.groupBy(C("variable").alias("name")).agg(
         F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"),
         F.round(F.when(F.count("value") > 1, F.stddev_samp("value")), 4).alias("std"),
@@ -184,7 +184,7 @@ def numeric_trends(shape: TableShape, most: int = 12) -> DataFrame:
         C("variable").alias("mid_variable")).agg(F.count(F.lit(1)).alias("middle"))
     sided = tagged.filter((C(date) == C("first")) | (C(date) == C("last"))).select(
         "variable", F.when(C(date) == C("first"), "first").otherwise("last").alias("side"), "value")
-    medians = exact_median(sided, ["variable", "side"], "value").groupBy(C("variable").alias("m_variable")).agg(
+    medians = exact_median(sided, ["variable", "side"], "value", bounded_groups=True).groupBy(C("variable").alias("m_variable")).agg(
         F.max(F.when(C("side") == "first", C("median"))).alias("first_value"),
         F.max(F.when(C("side") == "last", C("median"))).alias("latest_value"))
     joined = ends.join(F.broadcast(between), C("end_variable") == C("mid_variable")).join(
@@ -247,7 +247,7 @@ def top_decile_share(shape: TableShape, columns: list[str] | None = None) -> Dat
     def taken(n: Column) -> Column:
         return F.greatest(F.lit(1), F.ceil(n * 0.1))
 
-    cut = exact_quantiles(rows, ["variable"], "value", {"cut": lambda n: n - taken(n)}).select(
+    cut = exact_quantiles(rows, ["variable"], "value", {"cut": lambda n: n - taken(n)}, True).select(
         C("variable").alias("cut_variable"), "cut")
     sums = rows.join(F.broadcast(cut), C("variable") == C("cut_variable")).groupBy("variable").agg(
         F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"), F.max("cut").alias("cut"),
@@ -334,7 +334,7 @@ def financial_metrics(shape: TableShape, order_key: str, unbounded_history: bool
         growth = history.filter(C("prior_revenue") != 0).select(
             F.lit("Revenue growth").alias("variable"), (C("revenue") / C("prior_revenue") - 1).alias("value"))
         long = long.unionByName(growth)
-    medians = exact_median(long, ["variable"], "value")
+    medians = exact_median(long, ["variable"], "value", bounded_groups=True)
     listed = _listed(shape, list(chosen), "metric")
     return listed.join(F.broadcast(medians), C("metric") == C("variable"), "left").select(
         "place", "metric", F.round("median", 6).alias("value"))
@@ -381,7 +381,7 @@ def median_by_category(shape: TableShape, categories: list[str], metric: str, mo
     rows = shape.data.filter(C(metric).isNotNull()).select(
         C(metric).alias("metric_value"), *[F.coalesce(C(c).cast("string"), F.lit(MISSING)).alias(c) for c in used])
     long = rows.unpivot(["metric_value"], used, "variable", "group_value")
-    return exact_median(long, ["variable", "group_value"], "metric_value").select(
+    return exact_median(long, ["variable", "group_value"], "metric_value", bounded_groups=True).select(
         "variable", "group_value", F.round("median", 6).alias("median"))
 
 
@@ -393,7 +393,7 @@ def median_series(shape: TableShape, columns: list[str]) -> DataFrame:
     """Median per day for each column; days are bounded in number."""
     day = C(shape.dates[0]).cast("date")
     rows = shape.data.select(day.alias("day"), *columns).filter(C("day").isNotNull())
-    return exact_median(to_long(rows, ["day"], columns), ["variable", "day"], "value").select(
+    return exact_median(to_long(rows, ["day"], columns), ["variable", "day"], "value", bounded_groups=True).select(
         "variable", "day", F.round("median", 6).alias("median"))
 
 
