@@ -16,8 +16,14 @@ SLICE = "slice_no"
 
 
 def range_slices(frame: DataFrame, keys: list[str], order: list[Column], slices: int | None = None) -> DataFrame:
-    """Rows cut into ordered slices; equal (keys, order) values always share a slice."""
-    width = slices or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Rows cut into ordered slices; equal (keys, order) values always share a slice.
+
+    The cluster's shuffle width sets the number of slices, so their size follows the
+    partition size the cluster is tuned for.
+    """
+    conf = frame.sparkSession.conf
+    width = slices or max(int(conf.get("spark.sql.shuffle.partitions")),
+                          int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "1")))
     ordered = frame.repartitionByRange(width, *[F.col(key).asc_nulls_first() for key in keys], *order)
     return cut_lineage(ordered.withColumn(SLICE, F.spark_partition_id()))
 

@@ -41,11 +41,11 @@ def test_running_totals_and_numbers_equal_a_plain_window(skewed):
 def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(3)
     groups = {"wide": rng.normal(0, 1e6, 4001), "tiny": rng.uniform(-1e-4, 1e-4, 1500), "one": np.array([5.0]),
-              "hot": np.concatenate([np.full(3000, 12.5), rng.exponential(10, 2000)]), "ints": rng.integers(-5, 5, 999)}
+              "near": 1e9 + rng.uniform(0, 3, 3000), "hot": np.concatenate([np.full(3000, 12.5), rng.exponential(10, 2000)]), "ints": rng.integers(-5, 5, 999)}
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("wide", None), ("hot", float("nan"))]
     wanted = {f"q{int(p * 1000)}": p for p in (0.0, 0.05, 0.25, 0.5, 0.77, 0.95, 1.0)}
-    for broadcast in (True, False):
-        found = exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", wanted, broadcast)
+    for bounded in (True, False):
+        found = exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", wanted, bounded)
         for row in found.collect():
             for name, p in wanted.items():
                 assert row[name] == pytest.approx(float(np.quantile(groups[row.g], p)), rel=1e-12, abs=1e-15)
@@ -85,3 +85,16 @@ def test_top_decile_counts_ties_once(spark):
     shape = inspect(spark.createDataFrame([(f"r{i}", v) for i, v in enumerate(values)], "label_text string, amount double"))
     found = profile.top_decile_share(shape, ["amount"]).first()
     assert found.top_decile_share == pytest.approx(20 / sum(values), abs=1e-6)
+
+
+def test_unbounded_history_gives_the_same_features(spark):
+    from ratiowatch.operators import features
+    rows = [(i, "hot" if i % 3 == 0 else f"c{i % 25}", f"20{i % 20:02d}-12-31", float((i * 37) % 900), float((i * 53) % 400))
+            for i in range(600)]
+    data = spark.createDataFrame(rows, "record_id bigint, company_id string, period string, Revenue double, EBITDA double")
+
+    def result(unbounded):
+        scored = features.early_warnings(features.engineer_features(data, unbounded))
+        return sorted(map(tuple, scored.select("record_id", "Sales_Growth", "EBITDA_Margin", "warning_signals").collect()))
+
+    assert result(False) == result(True)
