@@ -40,12 +40,15 @@ def usable_features(rows: DataFrame, names=MODEL_FEATURES) -> list[str]:
     return [n for n in names if seen[n]]
 
 
-def pipeline(classifier, names: list[str]) -> Pipeline:
+def preparation(names: list[str]) -> list:
     filled = [f"in_{n}" for n in names]
-    return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=names, outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="features"),
-        StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True), classifier])
+    return [Imputer(strategy="median", inputCols=names, outputCols=filled),
+            VectorAssembler(inputCols=filled, outputCol="features"),
+            StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)]
+
+
+def pipeline(classifier, names: list[str]) -> Pipeline:
+    return Pipeline(stages=[*preparation(names), classifier])
 
 
 def weighted(rows: DataFrame) -> DataFrame:
@@ -85,15 +88,21 @@ def compare(rows: DataFrame, key: str, models: dict | None = None, folds: int =
     names = usable_features(data)
     train, test = data.filter(C("fold") != 0).drop("fold"), data.filter(C("fold") == 0)
     inner = cut_lineage(with_folds(train, key, folds=folds))
-    table = {}
-    for name, classifier in (models or candidates()).items():
-        found = []
-        for fold in range(folds):
-            model = pipeline(classifier, names).fit(inner.filter(C("fold") != fold))
-            found.append(fold_metrics(score(model, inner.filter(C("fold") == fold))))
-        table[name] = {m: sum(f[m] for f in found) / folds for m in METRICS}
+    chosen_models = models or candidates()
+    found: dict[str, list] = {name: [] for name in chosen_models}
+    for fold in range(folds):
+        # Medians and scales come from the fold's training rows and serve every candidate.
+        prepared = Pipeline(stages=preparation(names)).fit(inner.filter(C("fold") != fold))
+        kept = ("label", "weight", "features", "scaled")
+        fit_rows = prepared.transform(inner.filter(C("fold") != fold)).select(*kept).persist()
+        check_rows = prepared.transform(inner.filter(C("fold") == fold)).select(*kept).persist()
+        for name, classifier in chosen_models.items():
+            found[name].append(fold_metrics(score(classifier.fit(fit_rows), check_rows)))
+        fit_rows.unpersist()
+        check_rows.unpersist()
+    table = {name: {m: sum(f[m] for f in folded) / folds for m in METRICS} for name, folded in found.items()}
     winner = max(table, key=lambda n: table[n]["roc_auc"])
-    chosen = pipeline((models or candidates())[winner], names)
+    chosen = pipeline(chosen_models[winner], names)
     held_out = score(chosen.fit(train), test)
     return {"cv": table, "selected": winner, "held_out": held_out, "model": chosen.fit(data), "features": names}
 
