@@ -19,8 +19,16 @@ def event_shape(spark, sf_dir):
     return typing_rules.inspect(driver.events_table(spark, sf_dir))
 
 
-def messy_shape(spark, sf_dir):
-    return typing_rules.inspect(driver.messy_table(spark, sf_dir))
+def loan_outline(spark, sf_dir):
+    return typing_rules.outline(driver.loan_table(spark, sf_dir))
+
+
+def event_outline(spark, sf_dir):
+    return typing_rules.outline(driver.events_table(spark, sf_dir))
+
+
+def statement_outline(spark, sf_dir):
+    return typing_rules.outline(cut_lineage(driver.statement_profile_table(spark, sf_dir)))
 
 
 def statement_shape(spark, sf_dir):
@@ -39,7 +47,7 @@ def q_column_types(spark, sf_dir):
 
 
 def q_column_roles(spark, sf_dir):
-    shape = loan_shape(spark, sf_dir)
+    shape = loan_outline(spark, sf_dir)
     return _facts(spark, [(n, ", ".join(r)) for n, r in shape.roles.items()], "variable string, roles string")
 
 
@@ -61,7 +69,7 @@ def q_model_features(spark, sf_dir):
 
 
 def q_dataset_type(spark, sf_dir):
-    shapes = {"loans": loan_shape(spark, sf_dir), "events": event_shape(spark, sf_dir)}
+    shapes = {"loans": loan_outline(spark, sf_dir), "events": event_outline(spark, sf_dir)}
     return _facts(spark, [(n, typing_rules.dataset_type(s, n), s.rows) for n, s in shapes.items()],
                   "table_name string, dataset_type string, n_rows bigint")
 
@@ -83,7 +91,7 @@ def q_dataset_quality(spark, sf_dir):
 
 
 def q_numeric_summary(spark, sf_dir):
-    return profile.numeric_summary(event_shape(spark, sf_dir))
+    return profile.numeric_summary(event_outline(spark, sf_dir))
 
 
 def q_categorical_summary(spark, sf_dir):
@@ -91,7 +99,7 @@ def q_categorical_summary(spark, sf_dir):
 
 
 def q_correlations(spark, sf_dir):
-    return profile.correlations(statement_shape(spark, sf_dir))
+    return profile.correlations(statement_outline(spark, sf_dir))
 
 
 def q_correlation_matrix(spark, sf_dir):
@@ -103,15 +111,15 @@ def q_strongest_pair(spark, sf_dir):
 
 
 def q_numeric_trends(spark, sf_dir):
-    return profile.numeric_trends(statement_shape(spark, sf_dir))
+    return profile.numeric_trends(statement_outline(spark, sf_dir))
 
 
 def q_record_frequency(spark, sf_dir):
-    return profile.record_frequency(loan_shape(spark, sf_dir))
+    return profile.record_frequency(loan_outline(spark, sf_dir))
 
 
 def q_target_distribution(spark, sf_dir):
-    return profile.target_distribution(loan_shape(spark, sf_dir), "risk_status")
+    return profile.target_distribution(loan_outline(spark, sf_dir), "risk_status")
 
 
 def q_risk_segments(spark, sf_dir):
@@ -119,15 +127,15 @@ def q_risk_segments(spark, sf_dir):
 
 
 def q_top_decile_share(spark, sf_dir):
-    return profile.top_decile_share(loan_shape(spark, sf_dir))
+    return profile.top_decile_share(loan_outline(spark, sf_dir))
 
 
 def q_financial_metrics(spark, sf_dir):
-    return profile.financial_metrics(statement_shape(spark, sf_dir), "record_id")
+    return profile.financial_metrics(statement_outline(spark, sf_dir), "record_id")
 
 
 def q_missing_ranking(spark, sf_dir):
-    return profile.missing_ranking(statement_shape(spark, sf_dir))
+    return profile.missing_ranking(statement_outline(spark, sf_dir))
 
 
 def q_column_answer(spark, sf_dir):
@@ -135,7 +143,7 @@ def q_column_answer(spark, sf_dir):
 
 
 def q_histogram(spark, sf_dir):
-    return profile.histogram(event_shape(spark, sf_dir), ["value"])
+    return profile.histogram(event_outline(spark, sf_dir), ["value"])
 
 
 def q_median_by_category(spark, sf_dir):
@@ -147,11 +155,11 @@ def q_category_counts(spark, sf_dir):
 
 
 def q_median_series(spark, sf_dir):
-    return profile.median_series(loan_shape(spark, sf_dir), ["loan_amount", "credit_score"])
+    return profile.median_series(loan_outline(spark, sf_dir), ["loan_amount", "credit_score"])
 
 
 def q_balance_totals(spark, sf_dir):
-    return profile.balance_totals(statement_shape(spark, sf_dir), "Total_Assets", "Total_Liabilities")
+    return profile.balance_totals(statement_outline(spark, sf_dir), "Total_Assets", "Total_Liabilities")
 
 
 def q_numeric_means(spark, sf_dir):
@@ -159,7 +167,7 @@ def q_numeric_means(spark, sf_dir):
 
 
 def q_profile_warnings(spark, sf_dir):
-    shape = statement_shape(spark, sf_dir)
+    shape = statement_outline(spark, sf_dir)
     return profile.profile_warnings(shape, profile.numeric_trends(shape))
 
 
