@@ -1,7 +1,63 @@
-"""placeholder until all stages exist"""
-STAGES = []
+"""A corpus in five stages: language, repeated lines, near duplicates, benchmark passages, packing.
+
+Each stage reads what the one before kept, and its decisions take effect: rows it rejects
+are gone, texts it edits are edited. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ratiowatch.llm import contamination, language, lines, near, packing
+from ratiowatch.llm.encoding import vocabulary
+from ratiowatch.session import cut_lineage
+
+#: SQL has no tokenizer, so the whole pipeline has no SQL; tests compare it with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter have no language and go; a null or empty text is one of them."""
+    model = language.train(docs)
+    found = language.identify(docs.withColumn("_pipeline_text", F.col("text")), model, "_pipeline_text")
+    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines leave the texts, and n_chars follows; every document stays."""
+    kept = lines.drop_repeated_lines(docs)
+    return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
+    found = near.near_duplicates(docs, size=5, percent=80)
+    lost = found.where(~F.col("kept")).select(F.col("doc_id").alias("_lost"))
+    return docs.join(lost, docs["doc_id"].cast("bigint") == lost["_lost"], "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go if hit words of benchmark windows are at least one in 20."""
+    index = contamination.build_index(docs)
+    found = contamination.judged(contamination.find_passages(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    lost = found.where("contaminated").select(F.col("doc_id").alias("_lost")).distinct()
+    return docs.join(lost, docs["doc_id"].cast("bigint").eqNullSafe(lost["_lost"]), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents as pieces of sequences of 2048 tokens."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), "bare", end_id=0, capacity=2048)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+          ("decontaminate", decontaminate), ("pack", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = cut_lineage(docs)
+    return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratiowatch.llm import counts, language, lines, quality, secrets, token_ids
+from ratiowatch.llm import archive, contamination, counts, language, lines, near, packing, quality, secrets, token_ids
 from ratiowatch.llm.encoding import vocabulary
 from ratiowatch.llm.sql import SQL  # noqa: F401
 from ratiowatch.session import scratch_path
@@ -34,6 +34,28 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = contamination.build_index(_table(spark, sf_dir, "documents"))
+    found = contamination.judged(contamination.find_passages(index, _table(spark, sf_dir, "benchmark"), window=13))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "bare", end_id=0, capacity=2048)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark)
+    archive.write_archive(_table(spark, sf_dir, "pages"), folder)
+    return archive.read_archive(spark, folder).select(
+        "page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        archive.base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -45,5 +67,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_line_dedup, op3_quality_rules, op4_secret_scan, op9_token_counts,
-                                   op10_language_id)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_ids, op2_line_dedup, op3_quality_rules, op4_secret_scan, op5_near_dedup, op6_decontamination, op7_best_fit_packing, op8_warc,
+    op9_token_counts, op10_language_id)}
