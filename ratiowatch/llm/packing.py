@@ -98,13 +98,11 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     left = Counter({length: count for length, count in histogram.items() if count > 0})
     step = max(1, -(-capacity // STEPS))
     bins = capacity // step
-    runs: dict[int, list[int]] = defaultdict(list)  # step -> its exact lengths, rising
     totals = np.zeros(bins + 1)
     for length in sorted(left):
         if -(-length // step) <= bins:
-            runs[-(-length // step)].append(length)
             totals[-(-length // step)] += left[length]
-    patterns = _patterns(bins, set(runs))
+    patterns = _patterns(bins, set(np.flatnonzero(totals).tolist()))
     groups: list[tuple[tuple[int, ...], int]] = []
     if patterns:
         columns = np.zeros((bins, len(patterns)))
@@ -117,8 +115,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
             wanted = int(repeats[n])
             while wanted > 0:
                 taken: list[int] = []
-                for b in patterns[n]:  # the longest of the first step, then of the others
-                    length = next((x for x in reversed(runs[b]) if left[x] > taken.count(x)), None)
+                for at, b in enumerate(patterns[n]):  # the longest of each step; the last piece takes up the rounding
+                    most = capacity - sum(taken) if at and at == len(patterns[n]) - 1 else b * step
+                    length = next((x for x in range(most, (b - 1) * step, -1) if left[x] > taken.count(x)), None)
                     if length is None:
                         break
                     taken.append(length)
