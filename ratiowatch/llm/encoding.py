@@ -16,7 +16,8 @@ import zlib
 import numpy as np
 
 #: Distinct words that one worker remembers before it starts anew; bounds memory, never results.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 700_000
+COMMON_WORDS = 8_000
 
 
 def vocabulary(name: str) -> str:
@@ -53,12 +54,42 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.common: dict[str, int] = {}
+        self.batches = 0
         self.of_run.clear()
         self.pool = np.empty(1 << 16, np.uint32)
         self.starts, self.lengths, self.used = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.again = np.zeros(1 << 14, bool)  # words met since they were learned
+
+    def _thin_out(self) -> None:
+        """Keep the words that were met again; when those are many, none."""
+        kept = np.flatnonzero(self.again[:len(self.index)])
+        if len(kept) > REMEMBERED_WORDS // 2:
+            return self._forget()
+        words, lengths = list(self.index), self.lengths[kept]
+        ends = np.cumsum(lengths)
+        total = int(lengths.sum())
+        pool = self.pool[np.repeat(self.starts[kept] - ends + lengths, lengths) + np.arange(total)]
+        self._forget()
+        self.pool, self.used = _grown(pool, total), total
+        self.lengths, self.starts, self.again = lengths, ends - lengths, np.zeros(len(kept), bool)
+        self.index = {words[n]: at for at, n in enumerate(kept.tolist())}
 
     def _places(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+        """Numbers of the words, -1 for unknown ones; a small table of common words is asked first."""
+        at = np.fromiter(map(self.common.get, words, itertools.repeat(-1)), np.int64, len(words))
+        rest = np.flatnonzero(at < 0)
+        at[rest] = np.fromiter(map(self.index.get, [words[n] for n in rest.tolist()], itertools.repeat(-1)), np.int64, len(rest))
+        return at
+
+    def _note_common(self, at: np.ndarray) -> None:
+        """After the 1st, 2nd, 4th ... batch since the last start, take the most frequent words of the batch as common."""
+        self.batches += 1
+        if self.batches & (self.batches - 1) == 0:
+            seen = np.bincount(at)
+            top = np.argsort(-seen, kind="stable")[:COMMON_WORDS]
+            wanted = set(top[seen[top] > 2].tolist())
+            self.common = {word: n for word, n in self.index.items() if n in wanted}
 
     def _run(self, run: str) -> list[int]:
         """Ids of letters, or of marks, that the vocabulary never splits before its merges."""
@@ -80,6 +111,8 @@ class WordEncoder:
         base, first, total = len(self.index), self.used, int(lengths.sum())
         self.pool = _grown(self.pool, first + total)
         self.starts, self.lengths = _grown(self.starts, base + len(ids)), _grown(self.lengths, base + len(ids))
+        self.again = _grown(self.again, base + len(ids))
+        self.again[base:base + len(ids)] = False
         self.pool[first:first + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
         self.lengths[base:base + len(ids)] = lengths
         self.starts[base:base + len(ids)] = first + np.cumsum(lengths) - lengths
@@ -106,17 +139,19 @@ class WordEncoder:
                 words += found
         at = self._places(words)
         unknown = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
         if len(unknown):
             fresh = list({words[n] for n in unknown.tolist()})
             gc.disable()  # millions of small lists without cycles
             if self.index and len(self.index) + len(fresh) > REMEMBERED_WORDS:
-                self._forget()
-                self._learn(list(set(words)))
+                self._thin_out()
+                self._learn(list(set(words).difference(self.index)))
                 at = self._places(words)
             else:
                 self._learn(fresh)
                 at[unknown] = self._places([words[n] for n in unknown.tolist()])
             gc.enable()
+        self._note_common(at)
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
