@@ -43,10 +43,11 @@ def drop_repeated_lines(docs: DataFrame, min_key_length: int = 10, min_docs: int
              .select("i", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key", F.lit(1)).alias("h2")))
     cells = cut_lineage(cells)
     seen = cells.groupBy("h1", "h2", "i").agg(F.count(F.lit(1)).alias("n"))
-    repeated = (seen.groupBy("h1", "h2")
-                .agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("i")).alias("first"))  # structs put nulls first
+    least = F.when(~F.max(F.col("i").isNull()), F.min("i"))  # a null is the smallest
+    repeated = (seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), least.alias("first"))
                 .where(F.col("n_docs") >= min_docs).select("h1", "h2", "first"))
-    marked = (cells.join(repeated, ["h1", "h2"]).where(~F.col("i").eqNullSafe(F.col("first.i")))
+    repeated = cut_lineage(repeated)  # read anew, both sides of the join are plain shuffles that can be split
+    marked = (cells.join(repeated, ["h1", "h2"]).where(~F.col("i").eqNullSafe(F.col("first")))
               .groupBy(F.col("i").alias("_line_i"), F.col("t").alias("_line_t"))
               .agg(F.collect_set("pos").alias("_line_drops")))
     held = docs.withColumns({"_line_all": F.split(text, "\n"), "_line_text": text, "_line_hash": F.xxhash64(text)})
