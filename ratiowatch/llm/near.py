@@ -8,8 +8,8 @@ whole sets.
 
 Copies are folded into classes first. Buckets are then searched by stars, never by all
 pairs: every member meets one pivot of its bucket, and only while the bucket still holds
-different components. What stars leave open is settled by joining members of different
-components of a bucket, with the bit estimate inside the join.
+different components. What stars leave open is settled in blocks: members outside the
+largest component of a bucket against all of it.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ BANDS = MINIMA // ROWS
 #: Standard deviations that an estimate may fall below the threshold.
 SLACK = 4.5
 STAR_ROUNDS = 2
+#: Rows on either side of a block of comparisons.
+BLOCK = 256
 #: A set of ids up to this size is sent to all tasks; a larger one meets the texts by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -181,6 +183,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long")
 
 
+def _settled(cells: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Links (a, b) between components that still share a bucket; one for each member and component.
+
+    In a bucket, members outside its largest component are compared with all members, in
+    blocks of ``BLOCK`` by ``BLOCK`` rows that lie in tasks of their own. Blocks are compared in
+    place, so pairs are never rows. A pair is compared only in its first common band, and
+    only if bits and sizes allow the threshold.
+    """
+    parts = cells.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    buckets = parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select(
+        "band", F.col("top.label").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("xs"),
+        F.ceil((F.col("m") - F.col("top.n")) / BLOCK).cast("int").alias("ys"))
+    rows = cells.join(buckets, "band")
+    salt = F.xxhash64("node", F.lit(5))
+    all_ = rows.select("band", "node", "label", F.pmod(salt, "xs").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"),
+                       F.lit(False).alias("outside"))
+    outside = rows.where("label <> top").select("band", "node", "label", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"),
+                                                F.pmod(salt, "ys").cast("int").alias("y"), F.lit(True).alias("outside"))
+    known = classes.select("node", "bits", "bands").join(sets, "node")
+    full = all_.unionByName(outside).join(known, "node").select("band", "x", "y", "node", "label", "outside", "bits", "bands", "items")
+
+    def compared(block: pa.Table) -> pa.Table:
+        side = np.array(block["outside"].to_pylist(), bool)
+        node, label = block["node"].to_numpy(), block["label"].to_numpy()
+        bits = np.array(block["bits"].to_pylist(), np.int64).view(np.uint64)
+        bands = np.array(block["bands"].to_pylist(), np.int64)
+        items = [np.frombuffer(i, np.uint64) for i in block["items"].to_pylist()]
+        band, others = block["band"][0].as_py(), np.flatnonzero(~side)
+        sizes = np.array([len(i) for i in items])
+        found = []
+        if len(others):
+            flat, firsts = np.concatenate([items[n] for n in others]), np.cumsum(sizes[others]) - sizes[others]
+            for y in np.flatnonzero(side).tolist():
+                common = bands[others] == bands[y]
+                first = bands[y][common.argmax(axis=1)]
+                differing = bits[others] ^ bits[y]
+                differing = np.bitwise_count((differing | differing >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1)
+                small, large = np.minimum(sizes[others], sizes[y]), np.maximum(sizes[others], sizes[y])
+                fit = (first == band) & (label[others] != label[y]) & (MINIMA - differing.astype(np.int64) >= limit) & (100 * small >= percent * large)
+                if not fit.any():
+                    continue
+                at = np.searchsorted(items[y], flat)
+                at[at == sizes[y]] = 0
+                shared = np.add.reduceat(items[y][at] == flat, firsts, dtype=np.int64)
+                linked = np.flatnonzero(fit & (100 * shared >= percent * (sizes[others] + sizes[y] - shared)))
+                _, once = np.unique(label[others[linked]], return_index=True)
+                found += [(int(node[y]), int(node[others[n]])) for n in linked[once]]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return full.groupBy("band", "x", "y").applyInArrow(compared, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id and
     kept, which is true for the smallest id of a component.
@@ -231,15 +285,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
         pairs = now.join(pivots, "band").where(F.col("label") != F.col("pivot_label")).select(
             F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         labels = grown(_confirmed(plausible(pairs), sets, percent))
-    now = labelled(cells)
-    mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("band")
-    open_ = cut_lineage(now.join(mixed, "band").join(bits, "node"))
-    a = open_.select("band", F.col("node").alias("a"), F.col("label").alias("la"), F.col("bits").alias("p"), F.col("n_shingles").alias("n"))
-    b = open_.select("band", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("bits").alias("q"), F.col("n_shingles").alias("m"))
-    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    rest = a.join(b, (a["band"] == b["band"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes & (equal_minima("p", "q") >= limit))
-    labels = grown(_confirmed(rest.select("a", "b").distinct(), sets, percent))
-    drop_scratch(cells, held, bits, sets, open_, *links)
+    rest = cut_lineage(_settled(labelled(cells), classes, sets, percent, limit))
+    labels = grown(rest)
+    drop_scratch(cells, held, bits, sets, rest, *links)
     named = classes.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("label"))
     result = base.join(named, ["k1", "k2"], "left").select("doc_id", "text_hash", "n_shingles", F.coalesce(F.when(
         F.col("doc_id").isNotNull(), F.col("label")), F.col("doc_id")).alias("component_id"))
