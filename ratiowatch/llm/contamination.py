@@ -1,6 +1,6 @@
 """Benchmark passages in a corpus, by a distributed positional inverted index.
 
-The index is a table of segments. A segment covers some six million characters of whole
+The index is a table of segments. A segment covers some four million characters of whole
 documents and holds, for every distinct word, the sorted places of all its occurrences,
 so it takes a few megabytes and any task can open it alone. Words are kept as 64-bit
 hashes. The test side comes in chunks of bounded size; for each window, the lists of its
@@ -22,7 +22,7 @@ from ratiowatch.llm.encoding import batches_of
 from ratiowatch.session import cut_lineage
 
 #: Characters of a segment, and of the test items that are matched at a time.
-SEGMENT_CHARACTERS, CHUNK_CHARACTERS = 6_000_000, 4_000_000
+SEGMENT_CHARACTERS, CHUNK_CHARACTERS = 4_000_000, 4_000_000
 #: Letters and digits stay, A-Z are folded, other ASCII parts words; bytes from 128 on belong to words.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 MARK = "▁"  # stands for a space, and starts every text
 UNKNOWN_COST = 10.0
 #: Words that one worker remembers before it starts anew; bounds memory, never results.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 300_000
 
 
 def pieces_of(path: str) -> list[tuple[str, float]]:

@@ -10,7 +10,6 @@ number of symbols, and the least share wins.
 from __future__ import annotations
 
 import functools
-import pickle
 from collections import Counter
 
 import numpy as np
@@ -23,7 +22,7 @@ from ratiowatch.llm.encoding import batches_of
 UNDETERMINED = "und"
 #: Bounds of the training sample: labelled rows of each language, characters of each row, symbols
 #: of each language and of all languages together, and distinct letters. Scoring has no bound.
-SAMPLE_DOCS, ROW_CHARACTERS, SAMPLE_SYMBOLS, ALL_SYMBOLS, LETTERS = 80, 4_000, 40_000, 1_000_000, 94
+SAMPLE_DOCS, ROW_CHARACTERS, SAMPLE_SYMBOLS, ALL_SYMBOLS, LETTERS = 80, 4_000, 25_000, 1_000_000, 94
 BLOCK = 256
 
 
@@ -174,22 +173,17 @@ def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return Model({lang: texts for lang, texts in samples.items() if texts})
 
 
-@functools.lru_cache(maxsize=2)
-def _opened(data: bytes) -> Model:
-    return pickle.loads(data)
-
-
 def identify(docs: DataFrame, model: Model, text_column: str = "text", characters: int = 1_000_000) -> DataFrame:
     """All columns of ``docs`` and ``lang_pred`` and ``score`` (replacing columns of those names).
 
     Null texts and texts without a letter are ``und`` with score 0. Nothing but the text is
     looked at, so repeated rows and equal texts get equal answers.
     """
-    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        known, values = _opened(held.value), [t or "" for t in texts]
+        known, values = held.value, [t or "" for t in texts]
         names, scores = [], []
         for first, last in batches_of(values, characters):
             a, b = known.predict(values[first:last])
