@@ -72,7 +72,7 @@ class Counter:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if not self.by_word or "  " in text or MARK in text:
+        if not self.by_word or "  " in text or text[0] == " " or MARK in text:
             return self.best(MARK + text.replace(" ", MARK))
         words = f"{MARK}{text}".replace(" ", "\x00" + MARK).replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in text else [MARK + text.replace(" ", MARK)]
         got = list(map(self.known.get, words, itertools.repeat(-1)))
