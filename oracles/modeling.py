@@ -1,6 +1,7 @@
 from oracles.base import sql
 
 SQL = {
+    "model_roundtrip": sql("statements", "SELECT count(*) AS n_rows, CAST(0 AS DOUBLE) AS largest_difference FROM statements"),
     "grouped_folds": sql("statements", """SELECT company_id AS company, CAST(positives AS BIGINT) AS positives, n_rows,
       CAST(CASE WHEN (rn-1)%10<5 THEN (rn-1)%10 ELSE 9-(rn-1)%10 END AS INT) AS fold FROM (
       SELECT *, row_number() OVER (ORDER BY positives DESC, n_rows DESC, company_id) AS rn FROM (

@@ -54,7 +54,7 @@ PRESETS = """scen(scenario,no,rc,mc,dc,ic,cc,ac) AS (SELECT col0, col1, col2::DO
   ('Rate and liquidity shock',2,-0.05,-0.02,0.05,0.50,0.20,0), ('Severe combined',3,-0.30,-0.08,0.20,1.00,0.40,0.30)))"""
 ENDS = """scen(factor,side,rc,mc,dc,ic,cc,ac) AS (SELECT col0, col1, col2::DOUBLE, col3::DOUBLE, col4::DOUBLE, col5::DOUBLE,
   col6::DOUBLE, col7::DOUBLE FROM (VALUES ('Revenue','d',-0.3,0,0,0,0,0),('Revenue','u',0.2,0,0,0,0,0),
-  ('Operating margin','d',0,-8,0,0,0,0),('Operating margin','u',0,8,0,0,0,0),('Debt','d',0,0,-0.2,0,0,0),('Debt','u',0,0,0.2,0,0,0),
+  ('Operating margin','d',0,-0.08,0,0,0,0),('Operating margin','u',0,0.08,0,0,0,0),('Debt','d',0,0,-0.2,0,0,0),('Debt','u',0,0,0.2,0,0,0),
   ('Interest cost','d',0,0,0,-0.5,0,0),('Interest cost','u',0,0,0,1,0,0),('Current liabilities','d',0,0,0,0,-0.2,0),
   ('Current liabilities','u',0,0,0,0,0.4,0),('Receivables','d',0,0,0,0,0,-0.3),('Receivables','u',0,0,0,0,0,0.1)))"""
 STEPS = """scen AS (SELECT s::DOUBLE AS step, s/100::DOUBLE AS rc, 0::DOUBLE AS mc, 0::DOUBLE AS dc, 0::DOUBLE AS ic, 0::DOUBLE AS cc, 0::DOUBLE AS ac

@@ -1,8 +1,8 @@
 """Statements inside grids and text: header search, wide, transposed and long layouts, label lines.
 
 A grid is a table ``(table_id, row_no, cells array<string>)`` holding any number of
-extracted tables. Only the first rows of a table are gathered to find its header; body
-rows are read in place and never collected per table.
+extracted tables. Every row is scored as a header in place and a maximum per table picks
+the best; body rows are read in place and never collected per table.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from ratiowatch.schema import (COMPANY_HEADERS, COMPONENT_COLUMNS, FINANCIAL_COL
                                PERIOD_HEADERS, VALUE_HEADERS)
 
 C = F.col
-HEADER_PROBE_ROWS = 15
 MEASURES = (*FINANCIAL_COLUMNS, *COMPONENT_COLUMNS)
 # How a company line and an amount inside a line are written.
 COMPANY_LINE = (r"(?im)^\s*(?:company\s*name|entity\s*name|business\s*name|company|entity)\s*[:\-]\s*(.{2,100})$")
@@ -35,8 +34,8 @@ def _any_of(keys: Column, names) -> Column:
 
 
 def header_scores(grid: DataFrame) -> DataFrame:
-    """Score of every possible header row among the first rows of each table."""
-    head = grid.filter(C("row_no") < HEADER_PROBE_ROWS).select(
+    """Score of every row as a header of its table."""
+    head = grid.select(
         "table_id", "row_no", "cells", F.transform("cells", text.label_key).alias("keys"),
         F.exists(periods.parse_periods(C("cells")), lambda p: p.isNotNull()).alias("has_date"))
     metrics = F.size(F.filter("keys", lambda k: text.lookup(k, METRIC_LABELS).isNotNull()))
@@ -56,8 +55,9 @@ def _known(cell: Column, names) -> Column:
 def header_row(grid: DataFrame) -> DataFrame:
     """Best header row per table, the first one on equal scores."""
     ranked = header_scores(grid).filter("fits")
-    return ranked.groupBy("table_id").agg(
-        F.max_by("row_no", F.struct(C("score"), -C("row_no"))).alias("header_row"), F.max("score").alias("score"))
+    rows = F.lit(1 << 40)  # score and row in one number, so that the maximum needs no sort
+    best = ranked.groupBy("table_id").agg(F.max(C("score") * rows - C("row_no")).alias("best"), F.max("score").alias("score"))
+    return best.select("table_id", (C("score") * rows - C("best")).cast(ranked.schema["row_no"].dataType).alias("header_row"), "score")
 
 
 def table_heads(grid: DataFrame) -> DataFrame:

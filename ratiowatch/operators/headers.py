@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ratiowatch.functions import numbers, periods
+from ratiowatch.functions import numbers, periods, text
 from ratiowatch.functions.text import header_label_key, header_spaced_key
 from ratiowatch.schema import (CREDIT_COLUMNS, FINANCIAL_COLUMNS, METRIC_LABELS, STATEMENT_HEADERS, TABLE_HEADERS)
 
@@ -65,7 +65,7 @@ def period_column(frame: DataFrame, name: str) -> Column:
 
 
 def is_statement_layout(frame: DataFrame) -> bool:
-    """Year columns, with an item column or known labels among the first 40 values."""
+    """Year columns, with an item column or a known label among all values of the first column."""
     import re
 
     keys = [header_label_key(name) for name in frame.columns]
@@ -74,5 +74,5 @@ def is_statement_layout(frame: DataFrame) -> bool:
     years = any(re.search(periods.FISCAL_YEAR, name) for name in frame.columns)
     if not years or item:
         return years and item
-    first = frame.select(_quoted(frame.columns[0]).cast("string")).na.drop().limit(40).collect()
-    return any(header_label_key(row[0]) in METRIC_LABELS for row in first)
+    known = text.lookup(text.label_key(_quoted(frame.columns[0]).cast("string")), METRIC_LABELS).isNotNull()
+    return bool(frame.agg(F.max(known)).first()[0])

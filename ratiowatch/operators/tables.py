@@ -9,7 +9,6 @@ from ratiowatch.operators import ordered
 from ratiowatch.operators.intel import low_cardinality
 
 C = F.col
-TOP_K_ROWS = 100_000
 MAX_OPTIONS = 30
 
 
@@ -65,20 +64,15 @@ def sort_rows(frame: DataFrame, column: str, key: str, ascending: bool = True) -
 def page(frame: DataFrame, column: str, key: str, number: int, size: int, ascending: bool = True) -> DataFrame:
     """One page with its resolved number and the page count.
 
-    Early pages are a top-k. A deep page numbers the rows slice by slice instead of
-    keeping everything before it in one task.
+    Rows are numbered slice by slice, so no task keeps everything before the page.
     """
     size = max(1, int(size))
     total = frame.count()
     pages = max(1, -(-total // size))
     number = min(max(1, int(number or 1)), pages)
     start = (number - 1) * size
-    if start + size <= TOP_K_ROWS:
-        rows = sort_rows(frame, column, key, ascending).offset(start).limit(size)
-    else:
-        order = [C(column).asc_nulls_last() if ascending else C(column).desc_nulls_last(), C(key)]
-        rows = ordered.numbered(frame, order).filter(
-            (C("position") > start) & (C("position") <= start + size)).drop("position")
+    order = [C(column).asc_nulls_last() if ascending else C(column).desc_nulls_last(), C(key)]
+    rows = ordered.numbered(frame, order).filter((C("position") > start) & (C("position") <= start + size)).drop("position")
     return rows.withColumns({"page": F.lit(number), "pages": F.lit(pages)})
 
 

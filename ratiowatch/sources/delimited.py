@@ -5,36 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SEPARATORS = (",", ";", "\t", "|")
-PROBE_LINES = 20
 
 
-def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """Separator and encoding. The separator comes from a few lines; the encoding is
-    checked on every line, since a single foreign byte decides it."""
-    lines = spark.read.text(path)
-    head = [row[0] for row in lines.limit(PROBE_LINES).collect() if row[0]]
-    if not head:
+def sniff(spark: SparkSession, path: str) -> tuple[str, str, bool]:
+    """Separator, encoding and whether a quoted value spans lines, in one pass over all lines.
+
+    Separators inside quotes do not count, and lines with an open quote have no say."""
+    lines = spark.read.text(path).filter(F.length("value") > 0)
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    least = [F.min(F.when(quotes % 2 == 0, F.length(bare) - F.length(F.translate(bare, s, "")))).alias(f"c{n}") for n, s in enumerate(SEPARATORS)]
+    found = lines.agg(F.count(F.lit(1)).alias("n"), *least, F.max(~F.is_valid_utf8("value")).alias("broken"),
+                      F.max(quotes % 2 == 1).alias("open")).first()
+    if not found["n"]:
         raise ValueError("The file is empty.")
-    counts = {s: min(line.count(s) for line in head) for s in SEPARATORS}
-    separator = max(SEPARATORS, key=lambda s: counts[s])
-    broken = lines.filter(~F.is_valid_utf8("value")).limit(1).count()
-    return separator, "ISO-8859-1" if broken else "UTF-8"
+    separator = max(SEPARATORS, key=lambda s: found[f"c{SEPARATORS.index(s)}"] or 0)
+    return separator, "ISO-8859-1" if found["broken"] else "UTF-8", bool(found["open"])
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
                    encoding: str | None = None) -> DataFrame:
     """A table with a header line; every column is text and is typed later."""
-    if separator is None or encoding is None:
-        found = sniff(spark, path)
-        separator, encoding = separator or found[0], encoding or found[1]
+    found = sniff(spark, path)
+    separator, encoding = separator or found[0], encoding or found[1]
     return spark.read.csv(path, header=True, sep=separator, encoding=encoding, mode="PERMISSIVE",
-                          multiLine=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+                          multiLine=found[2], ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
 
 
 def read_grid(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """A table without a header as (file, row text cells); rows keep no order of their own."""
-    found, encoding = sniff(spark, path)
-    frame = spark.read.csv(path, header=False, sep=separator or found, encoding=encoding, mode="PERMISSIVE")
+    found, encoding, spans = sniff(spark, path)
+    frame = spark.read.csv(path, header=False, sep=separator or found, encoding=encoding, mode="PERMISSIVE", multiLine=spans)
     return frame.select(F.col("_metadata.file_name").alias("table_id"), F.array(*frame.columns).alias("cells"))
 
 

@@ -165,3 +165,36 @@ def test_infinities_are_missing(spark):
     rows = [(float("inf") if i == 0 else float(i), f"2024-01-{i % 28 + 1:02d}") for i in range(40)]
     shape = typing_rules.inspect(spark.createDataFrame(rows, "Revenue double, period string"))
     assert shape.missing["Revenue"] == 1 and shape.data.agg(F.max("Revenue")).first()[0] == 39.0
+
+
+def test_header_far_down_is_found(spark):
+    rows = [("t", n, [f"note {n}", None, None]) for n in range(20)]
+    rows += [("t", 20, ["Company Name", "Financial Year", "Turnover"]), ("t", 21, ["Alpha", "2024", "10"])]
+    grid = spark.createDataFrame(rows, "table_id string, row_no int, cells array<string>")
+    assert documents.header_row(grid).first().header_row == 20
+
+
+def test_quoted_separators_and_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name;note\n"A, B, C";"one, two\nthree, four"\nD;"x, y, z"\n')
+    frame = delimited.read_delimited(spark, str(tmp_path / "a.csv"))
+    assert sorted((r.name, r.note) for r in frame.collect()) == [("A, B, C", "one, two\nthree, four"), ("D", "x, y, z")]
+
+
+def test_shared_folder_is_cleared(spark):
+    import os
+
+    from ratiowatch import session
+
+    table = session.cut_lineage(spark.range(3).toDF("n"))
+    path = table._scratch.removeprefix("file:")
+    assert table.count() == 3 and os.path.isdir(path)
+    session.drop_scratch(table)
+    assert not os.path.exists(path)
+
+
+def test_all_levers_in_one_grid():
+    from ratiowatch.operators import scenarios
+
+    grid = scenarios.grid_scenarios([lever.key for lever in scenarios.LEVERS])
+    assert len(grid) == 9600
+    assert {shocks["margin_change"] for _, shocks in grid} == {-0.08, -0.04, 0.0, 0.04, 0.08}
