@@ -22,7 +22,7 @@ from ratiowatch.llm.encoding import batches_of
 UNDETERMINED = "und"
 #: Bounds of the training sample: labelled rows of each language, characters of each row, symbols
 #: of each language and of all languages together, and distinct letters. Scoring has no bound.
-SAMPLE_DOCS, ROW_CHARACTERS, SAMPLE_SYMBOLS, ALL_SYMBOLS, LETTERS = 80, 4_000, 25_000, 1_000_000, 94
+SAMPLE_DOCS, ROW_CHARACTERS, SAMPLE_SYMBOLS, ALL_SYMBOLS, LETTERS = 80, 4_000, 25_000, 200_000, 94
 BLOCK = 256
 
 
