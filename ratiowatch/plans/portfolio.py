@@ -12,7 +12,7 @@ C = F.col
 
 
 def rows(spark, sf_dir):
-    return portfolio.portfolio_risk(driver.loans(spark, sf_dir))
+    return portfolio.portfolio_risk(driver.loans(spark, sf_dir, places=False))
 
 
 def q_portfolio_risk(spark, sf_dir):
@@ -25,11 +25,11 @@ def q_portfolio_summary(spark, sf_dir):
 
 
 def q_concentration(spark, sf_dir):
-    return portfolio.concentration(portfolio.borrower_exposure(driver.loans(spark, sf_dir)))
+    return portfolio.concentration(portfolio.borrower_exposure(driver.loans(spark, sf_dir, borrower=False)))
 
 
 def q_top_exposures(spark, sf_dir):
-    return portfolio.top_exposures(portfolio.borrower_exposure(driver.loans(spark, sf_dir)))
+    return portfolio.top_exposures(portfolio.borrower_exposure(driver.loans(spark, sf_dir, borrower=False)))
 
 
 def q_exposure_by_band(spark, sf_dir):
@@ -37,25 +37,25 @@ def q_exposure_by_band(spark, sf_dir):
 
 
 def q_vintage_year(spark, sf_dir):
-    return portfolio.vintages(driver.loans(spark, sf_dir))
+    return portfolio.vintages(driver.loans(spark, sf_dir, places=False))
 
 
 def q_vintage_quarter(spark, sf_dir):
-    return portfolio.vintages(driver.loans(spark, sf_dir), freq="quarter")
+    return portfolio.vintages(driver.loans(spark, sf_dir, places=False), freq="quarter")
 
 
 def q_portfolio_findings(spark, sf_dir):
-    return portfolio.analyze(driver.loans(spark, sf_dir))["findings"]
+    return portfolio.analyze(driver.loans(spark, sf_dir, places=False))["findings"]
 
 
 def q_default_status(spark, sf_dir):
-    book = driver.loans(spark, sf_dir)
+    book = driver.loans(spark, sf_dir, borrower=False)
     return book.select("loan_id", status.normalized_status(C("loan_status")).alias("status_text"),
                        status.observed_default(C("loan_status")).alias("observed_default"))
 
 
 def q_risk_label(spark, sf_dir):
-    book = driver.loans(spark, sf_dir)
+    book = driver.loans(spark, sf_dir, borrower=False)
     return book.select("loan_id", status.is_risk_label(C("risk_status")).alias("status_is_risk"),
                        status.is_risk_label(C("loan_status")).alias("loan_is_risk"))
 
@@ -63,7 +63,7 @@ def q_risk_label(spark, sf_dir):
 def q_target_values(spark, sf_dir):
     words = F.when(C("loan_status") == "Default", "Default").when(C("loan_status") == "Fully Paid", "healthy") \
         .otherwise("No")
-    return driver.loans(spark, sf_dir).select("loan_id", status.binary_target(words).alias("target"))
+    return driver.loans(spark, sf_dir, borrower=False).select("loan_id", status.binary_target(words).alias("target"))
 
 
 QUERIES = {

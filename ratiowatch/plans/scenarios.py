@@ -23,13 +23,13 @@ def q_stress_grid(spark, sf_dir):
 
 
 def q_stress_presets(spark, sf_dir):
-    return scenarios.run_scenarios(base(spark, sf_dir), list(scenarios.PRESETS.items())).select(
+    return scenarios.run_scenarios(base(spark, sf_dir), scenarios.named_scenarios(scenarios.PRESETS)).select(
         "record_id", "scenario", "risk_index", "risk_category", "change")
 
 
 def q_stress_summary(spark, sf_dir):
-    return scenarios.stress_summary(
-        scenarios.run_scenarios(base(spark, sf_dir), scenarios.grid_scenarios(GRID)))
+    grid = scenarios.grid_scenarios(GRID)
+    return scenarios.stress_summary(scenarios.run_scenarios(base(spark, sf_dir), grid), grid)
 
 
 def q_stress_levers(spark, sf_dir):

@@ -91,8 +91,12 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order as a loan, with the borrower's score, segment and location."""
+def loans(spark: SparkSession, sf_dir: str, borrower: bool = True, places: bool = True) -> DataFrame:
+    """One row per order as a loan, with the borrower's score, segment and location.
+
+    Questions about loans alone leave the ``borrower`` out, and those about scores the
+    ``places``: an inner join that adds no wanted column would still be executed.
+    """
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("customer_id"), "c_nationkey", F.col("c_mktsegment").alias("segment"),
@@ -110,14 +114,18 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(priority == "1-URGENT", "Critical").when(priority == "2-HIGH", "High")
         .when(priority == "3-MEDIUM", "Medium").when(priority == "5-LOW", "Low").alias("risk_status"),
     )
-    return (book.join(customers, "customer_id").join(nations, "c_nationkey").join(regions, "n_regionkey")
-            .drop("c_nationkey", "n_regionkey"))
+    if not borrower:
+        return book
+    book = book.join(customers, "customer_id")
+    if places:
+        book = book.join(nations, "c_nationkey").join(regions, "n_regionkey")
+    return book.drop("c_nationkey", "n_regionkey")
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A probability from the borrower's score and the observed default of each loan."""
     score = F.col("credit_score")
-    return loans(spark, sf_dir).select(
+    return loans(spark, sf_dir, places=False).select(
         "loan_id", "customer_id", "segment",
         ((900 - score) / F.lit(600.0)).alias("probability"),
         F.when(F.col("loan_status") == "Default", 1).otherwise(0).alias("label"),

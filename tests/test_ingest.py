@@ -192,9 +192,12 @@ def test_shared_folder_is_cleared(spark):
     assert not os.path.exists(path)
 
 
-def test_all_levers_in_one_grid():
+def test_all_levers_in_one_grid(spark):
     from ratiowatch.operators import scenarios
 
-    grid = scenarios.grid_scenarios([lever.key for lever in scenarios.LEVERS])
-    assert len(grid) == 9600
-    assert {shocks["margin_change"] for _, shocks in grid} == {-0.08, -0.04, 0.0, 0.04, 0.08}
+    grid = scenarios.grid_scenarios(list(scenarios.LEVERS))
+    assert grid.size == 9600
+    number = F.col("id").cast("int")
+    found = spark.range(grid.size).select(grid.label(number).alias("label"), grid.change(number, "margin_change").alias("margin"))
+    assert found.select("label").distinct().count() == 9600
+    assert {r.margin for r in found.select("margin").distinct().collect()} == {-0.08, -0.04, 0.0, 0.04, 0.08}

@@ -133,11 +133,21 @@ def test_three_lever_scenario(spark):
 
 def test_unchanged_scenario_keeps_the_baseline(spark, two_rows):
     base = scenarios.baseline(two_rows)
-    same = scenarios.run_scenarios(base, [("none", {})]).collect()
+    same = scenarios.run_scenarios(base, scenarios.named_scenarios({"none": {}})).collect()
     assert all(r.change == 0 for r in same)
-    assert len(scenarios.grid_scenarios(list(scenarios.LEVER_BY_KEY))) == 9600
-    assert scenarios.scenario_label({"revenue_change": -20, "debt_change": 0, "margin_change": 4}) == \
-        "Revenue -20% · Operating margin +4 pp"
+    assert scenarios.grid_scenarios(list(scenarios.LEVERS)).size == 9600
+    few = scenarios.grid_scenarios(["debt_change", "revenue_change", "margin_change"], {
+        "debt_change": (0, 5), "revenue_change": (-20, 0), "margin_change": (0, 4)})
+    labels = spark.range(8).select(few.label(F.col("id").cast("int"))).collect()
+    assert [r[0] for r in labels][:4] == ["Revenue -20%", "Revenue -20% · Operating margin +4 pp", "No change (current reported values)",
+                                          "Operating margin +4 pp"]
+    assert labels[7][0] == "Operating margin +4 pp · Debt +5%"
+    found = scenarios.stress_summary(scenarios.run_scenarios(base, few), few).collect()
+    runs = scenarios.run_scenarios(base, few).collect()
+    for row in found:
+        mine = [r for r in runs if r.record_id == row.record_id and r.risk_index is not None]
+        worst = min(mine, key=lambda r: (-r.risk_index, r.scenario_no), default=None)
+        assert row.worst_scenario == (worst and worst.scenario) and row.scenarios == 8
 
 
 def test_results_do_not_depend_on_partitioning(spark, two_rows):
