@@ -15,7 +15,7 @@ import zlib
 
 import numpy as np
 
-#: Distinct words that one worker remembers before it starts anew; bounds memory, never results.
+#: Distinct words that one encoder remembers before it lets go of some; bounds memory, never results.
 REMEMBERED_WORDS = 400_000
 COMMON_WORDS = 8_000
 
@@ -34,12 +34,12 @@ class WordEncoder:
     before it, and "bare" for those that drop white space.
     """
 
-    def __init__(self, path: str, style: str):
+    def __init__(self, path: str, style: str, remembered: int = REMEMBERED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.style = style
+        self.style, self.remembered = style, remembered
         self.of_run: dict[str, list[int]] = {}
         self.bytes_of = self._byte_letters()
         self._forget()
@@ -64,7 +64,7 @@ class WordEncoder:
     def _thin_out(self) -> None:
         """Keep the words that were met again; when those are many, none."""
         kept = np.flatnonzero(self.again[:len(self.index)])
-        if len(kept) > REMEMBERED_WORDS // 2:
+        if len(kept) > self.remembered // 2:
             return self._forget()
         words, lengths = list(self.index), self.lengths[kept]
         ends = np.cumsum(lengths)
@@ -143,13 +143,13 @@ class WordEncoder:
         if len(unknown):
             fresh = list({words[n] for n in unknown.tolist()})
             gc.disable()  # millions of small lists without cycles
-            if self.index and len(self.index) + len(fresh) > REMEMBERED_WORDS:
+            if self.index and len(self.index) + len(fresh) > self.remembered:
                 self._thin_out()
                 self._learn(list(set(words).difference(self.index)))
                 at = self._places(words)
             else:
                 self._learn(fresh)
-                at[unknown] = self._places([words[n] for n in unknown.tolist()])
+                at[unknown] = np.fromiter(map(self.index.__getitem__, [words[n] for n in unknown.tolist()]), np.int64, len(unknown))
             gc.enable()
         self._note_common(at)
         lengths = self.lengths[at]
@@ -164,9 +164,9 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def word_encoder(path: str, style: str) -> WordEncoder:
+def word_encoder(path: str, style: str, remembered: int = REMEMBERED_WORDS) -> WordEncoder:
     """The encoder of this worker, kept between tasks."""
-    return WordEncoder(path, style)
+    return WordEncoder(path, style, remembered)
 
 
 def batches_of(texts: list[str], characters: int = 2_000_000):

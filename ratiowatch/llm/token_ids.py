@@ -21,18 +21,19 @@ DIGEST = "shard long, segment long, doc_id long, place long, n_tokens long, ids_
 
 
 def write_ids(docs: DataFrame, folder: str, vocabulary: str, style: str, end_id: int, id_column: str = "doc_id",
-              text_column: str = "text") -> None:
+              text_column: str = "text", remembered: int = 1_000_000) -> None:
     """Encode every whole text, append ``end_id`` and write the shards in ascending id order.
 
     Null and empty texts have the end id alone. A null id comes first. Rows that share an id
     are documents of their own, ordered by text. Other columns are ignored. An empty table
-    gives a folder without segments.
+    gives a folder without segments. ``remembered`` bounds the distinct words a worker keeps:
+    nothing else in this job needs memory, so more than the common bound.
     """
     import numpy as np
 
     def encoded(rows):
         shard, segment = TaskContext.get().partitionId(), 0
-        encoder = word_encoder(vocabulary, style)
+        encoder = word_encoder(vocabulary, style, remembered)
         for batch in rows:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for first, last in batches_of(texts):
