@@ -39,7 +39,7 @@ RANKED = list(PLACES)
 LOAN_COLS = ["loan_id", "customer_id", "loan_amount", "credit_score", "origination_date", "loan_status", "risk_status",
              "segment", "country", "region"]
 ROLES = {"loan_id": "", "customer_id": "customer identifier", "loan_amount": "transaction amount",
-         "credit_score": "credit score, transaction amount", "origination_date": "date / time", "loan_status": "",
+         "credit_score": "credit score", "origination_date": "date / time", "loan_status": "",
          "risk_status": "default / risk target", "segment": "", "country": "geography", "region": "geography"}
 KIND = {"loan_id": "Numeric", "customer_id": "Numeric", "loan_amount": "Numeric", "credit_score": "Numeric",
         "origination_date": "Date"}
@@ -103,10 +103,11 @@ SQL = {
         HAVING count({c})>=0.2*count(*) AND count(DISTINCT {c})>1"""
         for c in LOAN_COLS if c not in ("loan_id", "customer_id", "loan_status"))),
     "column_profile": sql("loans", PROFILE),
-    "dataset_quality": sql("loans", """SELECT count(*) AS n_rows, 5::BIGINT AS n_columns,
-      round(sum(CAST(risk_status IS NULL AS INT))*100::DOUBLE/(count(*)*5),6) AS missing_percent,
-      round(100::DOUBLE-sum(CAST(risk_status IS NULL AS INT))*100::DOUBLE/(count(*)*5),6) AS quality_percent,
-      count(*)-count(DISTINCT (customer_id,loan_status,coalesce(risk_status,'~'),segment,region)) AS duplicate_rows FROM loans"""),
+    "dataset_quality": sql("loans", """SELECT count(*) AS n_rows, 10::BIGINT AS n_columns,
+      round(sum(CAST(risk_status IS NULL AS INT))*100::DOUBLE/(count(*)*10),6) AS missing_percent,
+      round(100::DOUBLE-sum(CAST(risk_status IS NULL AS INT))*100::DOUBLE/(count(*)*10),6) AS quality_percent,
+      count(*)-(SELECT count(*) FROM (SELECT DISTINCT loan_id,customer_id,loan_amount,credit_score,origination_date,loan_status,risk_status,
+        segment,country,region FROM loans)) AS duplicate_rows FROM loans"""),
     "numeric_summary": sql("", "SELECT variable, count(v) AS n, round(avg(v),4) AS mean, round(stddev_samp(v),4) AS std, min(v) AS min, "
                            + ", ".join(f"round(quantile_cont(v,{q}::DOUBLE),6) AS {n}" for n, q in
                                        (("p5", .05), ("p25", .25), ("p50", .5), ("p75", .75), ("p95", .95)))
@@ -137,7 +138,7 @@ SQL = {
     "top_decile_share": sql("loans", """SELECT variable, round(sum(v) FILTER (rn<=k)/sum(v),6) AS top_decile_share FROM (
       SELECT variable, v, row_number() OVER (PARTITION BY variable ORDER BY v DESC) AS rn,
         greatest(1, ceil(count(*) OVER (PARTITION BY variable)*0.1)) AS k FROM lng WHERE v IS NOT NULL) GROUP BY 1 HAVING sum(v)>0""",
-                            longed("loans", ["loan_amount", "credit_score"])),
+                            longed("loans", ["loan_amount"])),
     "financial_metrics": sql("statements", " UNION ALL ".join(
         GROWTH if e is None else med("x IS NOT NULL", e, i, label) for i, (label, e) in enumerate(METRICS))),
     "missing_ranking": sql("statements", "SELECT * FROM (" + " UNION ALL ".join(

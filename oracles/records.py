@@ -70,14 +70,14 @@ RECS = texts([
     ("f3 OR coalesce(Current_Ratio<1,false)", "Match short-term obligations to available current assets."),
     ("f4 OR coalesce(Net_Profit_Margin<0,false)", "Find the cost drivers behind the weak operating and net margins."),
     ("f1", "Explain the revenue decline and refresh forecasts with verified demand.")])
-CONCERN = texts([("f1", "declining revenue"), ("f2", "increasing leverage"), ("f3", "weakening liquidity"),
-                 ("f4", "declining operating margins"), ("f5", "negative operating cash flow"),
-                 ("f6", "slower receivables collection"), ("f7", "weaker interest coverage")])
-STRENGTH = texts([("Sales_Growth>0", "revenue growth"), ("Current_Ratio>=1", "a healthy current ratio"),
-                  ("Cash_Flow_Operations>0", "positive operating cash flow"),
-                  ("EBITDA_Margin>0 AND NOT f4", "positive operating margins")])
-URGENT = texts([("f5", "improve operating cash generation"), ("f2", "control leverage"),
-                ("f4", "protect operating margins"), ("f3", "strengthen short-term liquidity")])
+CONCERN = texts([("f1", "sales are shrinking"), ("f2", "debt weighs more on assets"), ("f3", "short-term cover is thinning"),
+                 ("f4", "margins are under pressure"), ("f5", "operations use up cash"),
+                 ("f6", "customers pay later"), ("f7", "interest is covered less well")])
+STRENGTH = texts([("Sales_Growth>0", "sales are growing"), ("Current_Ratio>=1", "current assets cover current liabilities"),
+                  ("Cash_Flow_Operations>0", "operations bring in cash"),
+                  ("EBITDA_Margin>0 AND NOT f4", "operations earn a margin")])
+URGENT = texts([("f5", "turn operations cash-positive"), ("f2", "bring debt down relative to assets"),
+                ("f4", "win back margins"), ("f3", "build up current assets")])
 
 SQL = {
     "features": sql("features", f"SELECT {K}, {', '.join(CORE)}, Sales_Growth, {', '.join(RATIOS)} FROM features"),
@@ -121,7 +121,7 @@ SQL = {
     "risk_narrative": sql("risk", f"""SELECT {K}, array_to_string(({CONCERN})[1:3], ', ') AS concerns,
       array_to_string(({STRENGTH})[1:3], ', ') AS strengths, upper(s[1:1])||s[2:]||'.' AS priority FROM (
       SELECT *, CASE WHEN len({URGENT})>0 THEN array_to_string(({URGENT})[1:2],' and ')
-        ELSE 'continue monitoring cash flow, liquidity, and leverage' END AS s FROM risk)"""),
+        ELSE 'watch cash, liquidity and debt each period' END AS s FROM risk)"""),
     "credit_context": sql("risk", f"""SELECT {K}, Revenue AS revenue, Sales_Growth AS revenue_growth, Net_Profit AS profit,
       Current_Ratio AS current_ratio, Debt_to_Assets AS debt_to_assets, EBITDA_Margin AS ebitda_margin,
       Interest_Coverage AS interest_coverage, Cash_Flow_Operations AS cash_flow_operations, ix AS risk_index,

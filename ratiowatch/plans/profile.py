@@ -86,8 +86,7 @@ def q_column_profile(spark, sf_dir):
 
 
 def q_dataset_quality(spark, sf_dir):
-    table = driver.loans(spark, sf_dir).select("customer_id", "loan_status", "risk_status", "segment", "region")
-    return profile.dataset_quality(typing_rules.parse_columns(table))
+    return profile.dataset_quality(typing_rules.parse_columns(driver.loan_table(spark, sf_dir)))
 
 
 def q_numeric_summary(spark, sf_dir):
