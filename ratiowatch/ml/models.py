@@ -68,17 +68,15 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def fold_metrics(predictions: DataFrame) -> dict[str, float]:
-    scored = predictions.withColumn("y", C("label"))
+    scored = cut_lineage(predictions.select("p", C("label").alias("y")))
     hit = C("p") >= 0.5
     n = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(hit & (C("y") == 1)).alias("tp"),
                    F.count_if(hit & (C("y") == 0)).alias("fp"), F.count_if(~hit & (C("y") == 1)).alias("fn")).first()
     result = {"accuracy": (n["n"] - n["fp"] - n["fn"]) / n["n"],
               "precision": n["tp"] / max(n["tp"] + n["fp"], 1), "recall": n["tp"] / max(n["tp"] + n["fn"], 1),
               "f1": 2 * n["tp"] / max(2 * n["tp"] + n["fp"] + n["fn"], 1)}
-    ranker = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability", numBins=0)
-    result["roc_auc"] = ranker.evaluate(predictions)
-    result["pr_auc"] = ranker.setMetricName("areaUnderPR").evaluate(predictions)
-    return result
+    ranked = calibration.ranking_sums(scored.select("p", "y")).first().asDict()
+    return result | {name: value or 0.0 for name, value in ranked.items()}  # a fold of one class ranks nothing
 
 
 def compare(rows: DataFrame, key: str, models: dict | None = None, folds: int = 5) -> dict:
@@ -214,18 +212,21 @@ def _number_metrics(predicted: DataFrame) -> dict[str, float]:
     return {"mae": r["mae"], "r2": 1 - r["sse"] / (r["var"] * r["n"]) if r["var"] else 0.0, "test_rows": float(r["n"])}
 
 
-def segments(shape: TableShape, key: str, target: str | None = None) -> DataFrame:
-    """Clusters of all rows on up to twenty varying numeric columns, with their commonest target."""
-    names = [n for n in shape.numeric if shape.distinct[n] > 1][:20]
+def segments(shape: TableShape, key: str, target: str | None = None, starts: int = 10) -> DataFrame:
+    """Clusters of all rows on the varying numeric columns, with their commonest target: the best of several starts."""
+    names = [n for n in shape.numeric if shape.distinct[n] > 1]
     if len(names) < 2 or shape.rows < 10:
         raise ValueError("Segments need two varying numeric columns and ten rows.")
     k = min(4, max(2, int((shape.rows / 2) ** 0.5)))
     filled = [f"in_{n}" for n in names]
     steps = Pipeline(stages=[
         Imputer(strategy="median", inputCols=names, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
-        KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=42, initSteps=5)])
-    placed = steps.fit(shape.data).transform(shape.data)
+        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)])
+    ready = steps.fit(shape.data).transform(shape.data)
+    points = ready.select("scaled").persist()
+    tried = [KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=42 + n, initSteps=5).fit(points) for n in range(starts)]
+    points.unpersist()
+    placed = min(tried, key=lambda m: m.summary.trainingCost).transform(ready)
     label = F.coalesce(C(target).cast("string"), F.lit("Missing")) if target else F.lit("Not available")
     counts = placed.groupBy("cluster", label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("cluster").agg(
