@@ -3,7 +3,9 @@
 A worklist starts with the text. Every layer is scanned; URL escapes, Unicode escapes,
 base64 and compressed data in it become further layers until nothing new appears. Each
 layer knows, for every character, the span of the text it came from, so what is found in
-a layer is reported as a place in the text. A layer that was seen at the same place before
+a layer is reported as a place in the text. Bytes are read as
+UTF-8, bytes that are none as replacement characters, and NULs between ASCII characters (UTF-16,
+UTF-32) are dropped. A layer that was seen at the same place before
 is not entered again, which ends cycles.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import functools
 import hashlib
 import lzma
 import re
@@ -32,9 +35,16 @@ _ESCAPED_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPED_UNITS = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ONE_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Characters of one decompressed layer. More are scanned in overlapping windows of this length.
+#: No secret, and no encoding of one, has fewer than 16 ASCII characters in a row, so bytes without such
+#: a row, also with NULs between as in UTF-16 and UTF-32, hold nothing in sight.
+_PROMISING = re.compile(rb"[\t\n\r\x20-~](?:\x00{0,3}[\t\n\r\x20-~]){15}")
+_WIDE = re.compile(r"[\t\n\r\x20-~](?:\x00{1,3}[\t\n\r\x20-~]){15,}")
+_NO_BYTE = re.compile(r"[\udc80-\udcff]")
+#: Bytes of one decompressed layer. More are scanned in overlapping windows of this length.
 WINDOW = 1 << 24
 OVERLAP = 1 << 16
+#: Bytes that meet a decompressor at a time.
+PIECE = 1 << 12
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -63,52 +73,92 @@ class Layer:
         return int(self.starts[first:last].min()), int(self.ends[first:last].max())
 
 
-def _inflated(data: bytes):
-    """Decompressed data in windows, or nothing if the bytes are in no known format."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 6:
-        tool = zlib.decompressobj(47)
-    elif data[:3] == b"BZh":
-        tool = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        tool = lzma.LZMADecompressor()
-    else:
-        return
-    kept = b""
-    try:
-        while not tool.eof:
-            part = tool.decompress(data, WINDOW)
-            data = tool.unconsumed_tail if hasattr(tool, "unconsumed_tail") else b""
-            if not part:
-                break
-            yield kept + part
-            kept = (kept + part)[-OVERLAP:]
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return
-
-
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and text.translate(_BREAKS).isprintable() else None
-
-
-_BREAKS = {9: " ", 10: " ", 13: " "}
+def _decompressor(head: bytes):
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _inflated(parts):
+    """Decompressed data in parts, or nothing if the bytes are in no known format."""
+    tool, data = None, b""
+    for part in parts:
+        for at in range(0, len(part), PIECE):  # what comes before an error in the data is kept
+            data += part[at:at + PIECE]
+            while True:
+                if tool is None:
+                    if len(data) < 7:
+                        break
+                    tool = _decompressor(data)
+                    if tool is None:
+                        return
+                try:
+                    plain = tool.decompress(data, WINDOW)
+                except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                    return
+                data = getattr(tool, "unconsumed_tail", b"")
+                if plain:
+                    yield plain
+                if tool.eof:
+                    return
+                if not data and len(plain) < WINDOW:
+                    break
+
+
+def _windows(parts):
+    """The parts joined to overlapping windows."""
+    kept, held, size = b"", [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= WINDOW:
+            whole = b"".join([kept, *held])
+            yield whole
+            kept, held, size = whole[-OVERLAP:], [], 0
+    if held:
+        yield b"".join([kept, *held])
+
+
+def _unpacked(data: bytes):
+    """Windows of what the bytes decompress to, and of what that decompresses to, and so on."""
+    parts, seen = lambda: _inflated([data]), set()
+    while True:
+        mark = None
+        for window in _windows(parts()):
+            mark = mark or hashlib.sha256(window).digest()
+            yield window
+        if mark is None or mark in seen:
+            return
+        seen.add(mark)
+        parts = functools.partial(lambda outer: _inflated(outer()), parts)
+
+
+def _decoded(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Layer:
+    """The bytes as UTF-8; each byte that is none becomes a replacement character of its own."""
+    if data.isascii():
+        return Layer(data.decode(), starts, ends)
+    text = data.decode("utf-8", "surrogateescape")
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    sizes[(points >= 0xDC80) & (points < 0xDD00)] = 1
+    last = np.cumsum(sizes)
+    return Layer(_NO_BYTE.sub("\ufffd", text), starts[last - sizes], ends[last - 1])
+
+
+def _packed(data: bytes, starts: np.ndarray, ends: np.ndarray):
+    """Layers of what bytes decompress to."""
+    for window in _unpacked(data):
+        size = len(window)
+        yield _decoded(window, np.broadcast_to(starts[0], size), np.broadcast_to(ends[-1], size))
 
 
 def _of_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray):
-    """Layers of decoded bytes: a readable text, or what they decompress to."""
-    text = _readable(data)
-    if text is not None:
-        sizes = np.array([len(c.encode()) for c in text])
-        last = np.cumsum(sizes)
-        yield Layer(text, starts[last - sizes], ends[last - 1])
-        return
-    for window in _inflated(data):
-        plain = window.decode("utf-8", "replace")
-        if plain:
-            yield Layer(plain, np.full(len(plain), starts[0]), np.full(len(plain), ends[-1]))
+    """Layers of decoded bytes: their text, and what they decompress to."""
+    if _PROMISING.search(data):
+        yield _decoded(data, starts, ends)
+    yield from _packed(data, starts, ends)
 
 
 def _replaced(layer: Layer, parts: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
@@ -128,13 +178,19 @@ def _unescaped_bytes(layer: Layer):
         data = bytes.fromhex(m[0].replace("%", ""))
         at = np.arange(m.start(), m.end(), 3)
         starts, ends = layer.starts[at], layer.ends[at + 2]
-        text = _readable(data)
-        if text is None:
-            yield from _of_bytes(data, starts, ends)
-            continue
-        sizes = np.array([len(c.encode()) for c in text])
-        last = np.cumsum(sizes)
-        parts.append((m.start(), m.end(), text, starts[last - sizes], ends[last - 1]))
+        plain = _decoded(data, starts, ends)
+        parts.append((m.start(), m.end(), plain.text, plain.starts, plain.ends))
+        yield from _packed(data, starts, ends)
+    if parts:
+        yield _replaced(layer, parts)
+
+
+def _narrowed(layer: Layer):
+    """UTF-16 and UTF-32 read as bytes: the NULs between ASCII characters go."""
+    parts = []
+    for m in _WIDE.finditer(layer.text) if "\0" in layer.text else ():
+        at = np.array([n for n in range(m.start(), m.end()) if layer.text[n] != "\0"])
+        parts.append((m.start(), m.end(), m[0].replace("\0", ""), layer.starts[at], layer.ends[at]))
     if parts:
         yield _replaced(layer, parts)
 
@@ -179,7 +235,7 @@ def _from_base64(layer: Layer):
 def all_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of what is in plain sight and in every nested layer, sorted."""
     found = set(scan(text))
-    if "%" not in text and "\\" not in text and not _BASE64.search(text):
+    if "%" not in text and "\\" not in text and "\0" not in text and not _BASE64.search(text):
         return sorted(found)
     work, seen = [Layer.whole(text)], set()
     while work:
@@ -187,7 +243,7 @@ def all_spans(text: str) -> list[tuple[int, int, int]]:
         for start, kind, end in scan(layer.text) if seen else ():
             first, last = layer.span(start, end)
             found.add((first, kind, last))
-        for decode in (_unescaped_bytes, _unescaped_units, _from_base64):
+        for decode in (_unescaped_bytes, _unescaped_units, _narrowed, _from_base64):
             for new in decode(layer):
                 mark = (hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest(), int(new.starts[0]), int(new.ends[-1]))
                 if mark not in seen:

@@ -130,6 +130,19 @@ def test_secrets(docs, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_in_layers_that_are_no_plain_utf8():
+    key = "password = abcdefghijklmn"
+    for data in (key.encode("utf-16"), key.encode("utf-16-be"), key.encode("utf-32-le"), b"\xe9\xff " + key.encode(), f"a\xa0{key}\x0c\x00\ufeff".encode(),
+                 gzip.compress(gzip.compress(key.encode())), gzip.compress(key.encode("utf-16-le"))):
+        assert "assign" in secrets.written(secrets.all_spans("v: " + base64.b64encode(data).decode())), data
+    for data in (b"\xe9" + key.encode(), b"\x00" + key.encode(), f"\xa0{key}".encode()):
+        text = "v " + "".join(f"%{c:02X}" for c in data)
+        first = 2 + 3 * (len(data) - len(key))
+        assert secrets.written(secrets.all_spans(text)) == f"assign:{first}:{len(text)}"
+    text = base64.b64encode(b"\xe9\xe9\xe9" + key.encode()).decode()
+    assert secrets.written(secrets.all_spans(text)) == f"assign:4:{len(text.rstrip('='))}"
+
+
 def plain_sets(texts, size):
     out = []
     for text in texts:
