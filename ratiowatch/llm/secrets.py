@@ -3,15 +3,15 @@
 A worklist starts with the text. Every layer is scanned; URL escapes, Unicode escapes,
 base64 and compressed data in it become further layers until nothing new appears. Each
 layer knows, for every character, the span of the text it came from, so what is found in
-a layer is reported as a place in the text. Bytes are read as
-UTF-8, bytes that are none as replacement characters, and NULs between ASCII characters (UTF-16,
-UTF-32) are dropped. A layer that was seen at the same place before
-is not entered again, which ends cycles.
+a layer is reported as a place in the text. Bytes are read as UTF-8, bytes that are none as replacement characters, and NULs between
+ASCII characters (UTF-16, UTF-32) are dropped. Base64 is read in each line and over line ends,
+in all four alignments, as other characters may stand before it; compressed data may begin at
+any byte, and members that follow one another are one text. A layer that was seen at the same
+place before is not entered again, which ends cycles.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import functools
@@ -34,7 +34,13 @@ LEAST_VALUE = 12
 _ESCAPED_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPED_UNITS = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ONE_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+#: Runs over line ends, also written as escapes, with indents or quote marks.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>]*+[A-Za-z0-9+/_-]++)++")
+_LINE_END = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>]*")
+_STANDARD = str.maketrans("-_", "+/")
+#: How compressed data may begin. zlib has just these second bytes without a preset dictionary.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
 #: No secret, and no encoding of one, has fewer than 16 ASCII characters in a row, so bytes without such
 #: a row, also with NULs between as in UTF-16 and UTF-32, hold nothing in sight.
 _PROMISING = re.compile(rb"[\t\n\r\x20-~](?:\x00{0,3}[\t\n\r\x20-~]){15}")
@@ -81,17 +87,24 @@ def _decompressor(head: bytes):
     return lzma.LZMADecompressor() if head[:6] == b"\xfd7zXZ\x00" else None
 
 
-def _inflated(parts):
-    """Decompressed data in parts, or nothing if the bytes are in no known format."""
-    tool, data = None, b""
+def _inflated(parts, whole: list[int] | None = None):
+    """Decompressed data in parts, or nothing if the bytes are in no known format.
+
+    Members and streams that follow one another are one text. ``whole`` gets the place after
+    each one that is complete.
+    """
+    tool, data, fed, begun = None, b"", 0, False
     for part in parts:
         for at in range(0, len(part), PIECE):  # what comes before an error in the data is kept
-            data += part[at:at + PIECE]
+            piece = part[at:at + PIECE]
+            data += piece
+            fed += len(piece)
             while True:
                 if tool is None:
+                    data = data.lstrip(b"\0") if begun else data  # padding
                     if len(data) < 7:
                         break
-                    tool = _decompressor(data)
+                    tool, begun = _decompressor(data), True
                     if tool is None:
                         return
                 try:
@@ -102,8 +115,10 @@ def _inflated(parts):
                 if plain:
                     yield plain
                 if tool.eof:
-                    return
-                if not data and len(plain) < WINDOW:
+                    data, tool = tool.unused_data, None
+                    if whole is not None:
+                        whole.append(fed - len(data))
+                elif not data and len(plain) < WINDOW:
                     break
 
 
@@ -122,17 +137,21 @@ def _windows(parts):
 
 
 def _unpacked(data: bytes):
-    """Windows of what the bytes decompress to, and of what that decompresses to, and so on."""
-    parts, seen = lambda: _inflated([data]), set()
-    while True:
-        mark = None
-        for window in _windows(parts()):
-            mark = mark or hashlib.sha256(window).digest()
-            yield window
-        if mark is None or mark in seen:
-            return
-        seen.add(mark)
-        parts = functools.partial(lambda outer: _inflated(outer()), parts)
+    """Windows of what the bytes decompress to from any place, and of what that decompresses to, and so on."""
+    at = 0
+    while found := _MAGIC.search(data, at):
+        rest, whole, seen = data[found.start():], [], set()
+        parts = functools.partial(_inflated, [rest], whole)
+        while True:
+            mark = None
+            for window in _windows(parts()):
+                mark = mark or hashlib.sha256(window).digest()
+                yield window
+            if mark is None or mark in seen:
+                break
+            seen.add(mark)
+            parts = functools.partial(lambda outer: _inflated(outer()), parts)
+        at = found.start() + max(whole, default=1)
 
 
 def _decoded(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Layer:
@@ -217,25 +236,40 @@ def _unescaped_units(layer: Layer):
         yield _replaced(layer, parts)
 
 
-def _from_base64(layer: Layer):
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
+def _base64_runs(text: str):
+    """Runs of base64 characters in a line, and over lines: the characters and their places."""
+    for m in _BASE64.finditer(text):
+        yield m[0], np.arange(m.start(), m.end())
+    for m in _WRAPPED.finditer(text):
+        if len(m[0]) < 16:
             continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
-            continue
-        at = np.arange(len(data))
-        first = m.start() + at * 4 // 3
-        last = np.minimum(m.start() + -(-(at + 1) * 4 // 3), m.start() + len(body)) - 1
-        yield from _of_bytes(data, layer.starts[first], layer.ends[last])
+        kept, at = [], 0
+        for gap in _LINE_END.finditer(m[0]):
+            kept.append((at, gap.start()))
+            at = gap.end()
+        kept.append((at, len(m[0])))
+        body = "".join(m[0][a:b] for a, b in kept)
+        if len(body) >= 16:
+            yield body, np.concatenate([np.arange(a, b) for a, b in kept]) + m.start()
+
+
+def _from_base64(layer: Layer):
+    """Runs may begin with other characters than those of the code, so all four alignments are read."""
+    for run, at in _base64_runs(layer.text):
+        run = run.translate(_STANDARD)
+        for skipped in range(4):
+            body = run[skipped:len(run) - ((len(run) - skipped) % 4 == 1)]
+            data = binascii.a2b_base64(body + "=" * (-len(body) % 4))
+            if not _PROMISING.search(data) and not _MAGIC.search(data):
+                continue
+            bits = np.arange(len(data)) * 8
+            yield from _of_bytes(data, layer.starts[at[skipped + bits // 6]], layer.ends[at[skipped + (bits + 7) // 6]])
 
 
 def all_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of what is in plain sight and in every nested layer, sorted."""
     found = set(scan(text))
-    if "%" not in text and "\\" not in text and "\0" not in text and not _BASE64.search(text):
+    if "%" not in text and "\\" not in text and "\0" not in text and "\n" not in text and not _BASE64.search(text):
         return sorted(found)
     work, seen = [Layer.whole(text)], set()
     while work:

@@ -143,6 +143,27 @@ def test_secrets_in_layers_that_are_no_plain_utf8():
     assert secrets.written(secrets.all_spans(text)) == f"assign:4:{len(text.rstrip('='))}"
 
 
+def test_secrets_in_wrapped_and_glued_base64():
+    import bz2
+    import lzma
+
+    key = "password = abcdefghijklmn"
+    rng = np.random.default_rng(3)
+    noise = bytes(rng.integers(32, 127, 300).tolist())
+    for data in (b"x" * 40 + key.encode() + b" end", *(pack(noise + b" ") + pack(key.encode()) + pack(noise) for pack in (gzip.compress, bz2.compress, lzma.compress)),
+                 gzip.compress(noise + key.encode()), gzip.compress(noise + key[:12].encode()) + gzip.compress(key[12:].encode())):
+        code = base64.b64encode(data).decode()
+        for width, end in ((64, "\n"), (76, "\r\n"), (64, "\n    "), (76, "\n> "), (64, "\\n"), (len(code), "")):
+            text = "k: " + end.join(code[n:n + width] for n in range(0, len(code), width))
+            assert "assign" in secrets.written(secrets.all_spans(text)), (data, width, end)
+    text = "k\n" + base64.b64encode(b"x" * 40 + key.encode()).decode()[:64] + "\n" + base64.b64encode(b"x" * 40 + key.encode()).decode()[64:]
+    assert (2 + 53, 0, len(text.rstrip("="))) in secrets.all_spans(text)
+    for glue in ("/callback/", "id_", "a", "ab-", "abc+", "abcd"):
+        for data in (key.encode(), gzip.compress(key.encode()), zlib.compress(key.encode()), bz2.compress(key.encode())):
+            text = glue + base64.b64encode(data).decode().rstrip("=")
+            assert "assign" in secrets.written(secrets.all_spans(text)), (glue, data)
+
+
 def plain_sets(texts, size):
     out = []
     for text in texts:
