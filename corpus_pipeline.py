@@ -17,10 +17,10 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter have no language and go; a null or empty text is one of them."""
+    """Documents without a letter go; a null or empty text is one of them. Missing labels remove nothing."""
     model = language.train(docs)
-    found = language.identify(docs.withColumn("_pipeline_text", F.col("text")), model, "_pipeline_text")
-    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_pipeline_row"), F.col("text").alias("_pipeline_text"))
+    return language.identify(rows, model, "_pipeline_text").where("has_letter").select("_pipeline_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,17 +139,21 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score of each text. The score is the share of phrases saved against the second best."""
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+        """``predict``, and whether each text has a letter."""
         if not texts:
-            return [], []
+            return [], [], []
         counts, sizes, lettered = self.phrases(texts)
         if not self.languages:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts), lettered.tolist()
         best = counts.argmin(axis=0)  # ties: the first name
         ranked = np.sort(counts, axis=0)
         second = ranked[1] if len(self.languages) > 1 else np.zeros(len(texts))
         score = np.where(second > 0, 1 - ranked[0] / np.maximum(second, 1), 1.0)
         names = [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)]
-        return names, np.where(lettered, score, 0.0).tolist()
+        return names, np.where(lettered, score, 0.0).tolist(), lettered.tolist()
 
 
 def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
@@ -174,22 +178,24 @@ def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 def identify(docs: DataFrame, model: Model, text_column: str = "text", characters: int = 1_000_000) -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred`` and ``score`` (replacing columns of those names).
+    """All columns of ``docs`` and ``lang_pred``, ``score`` and ``has_letter`` (replacing columns of those names).
 
-    Null texts and texts without a letter are ``und`` with score 0. Nothing but the text is
+    Null texts and texts without a letter are ``und`` with score 0. A model that knows no
+    language says ``und`` of every text, so only ``has_letter`` tells which have none. Nothing but the text is
     looked at, so repeated rows and equal texts get equal answers.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @pandas_udf("lang_pred string, score double")
+    @pandas_udf("lang_pred string, score double, has_letter boolean")
     def predicted(texts: pd.Series) -> pd.DataFrame:
         known, values = held.value, [t or "" for t in texts]
-        names, scores = [], []
+        names, scores, letters = [], [], []
         for first, last in batches_of(values, characters):
-            a, b = known.predict(values[first:last])
+            a, b, c = known.judged(values[first:last])
             names += a
             scores += b
-        return pd.DataFrame({"lang_pred": names, "score": np.array(scores, float)})
+            letters += c
+        return pd.DataFrame({"lang_pred": names, "score": np.array(scores, float), "has_letter": np.array(letters, bool)})
 
     answer = docs.withColumn("_language", predicted(F.col(text_column)))
-    return answer.withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
+    return answer.withColumns({n: F.col(f"_language.{n}") for n in ("lang_pred", "score", "has_letter")}).drop("_language")

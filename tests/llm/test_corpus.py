@@ -330,3 +330,10 @@ def test_pipeline(spark, tmp_path):
     assert set(kept["near_dedup"]) == {1, 3, 4, 5} and set(kept["decontaminate"]) == {1, 3, 4}
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} == {1, 3, 4} and sum(r.length for r in rows) <= 2048
+
+
+def test_pipeline_keeps_texts_without_any_label(spark):
+    rows = [(1, "some words", None, 5), (2, "12 !!", None, 6), (None, "más", None, 7), (4, None, None, 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")
+    kept = corpus_pipeline.language_id(spark, frame, "")
+    assert kept.columns == frame.columns and sorted(r.score for r in kept.collect()) == [5, 7]
