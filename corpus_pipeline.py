@@ -29,19 +29,36 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}).select(*docs.columns)
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_pipeline_node``, a hash of id and text that is never null: ids may be null or repeat."""
+    return docs.withColumn("_pipeline_node", F.xxhash64("doc_id", "text"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
-    found = near.near_duplicates(docs, size=5, percent=80)
-    lost = found.where(~F.col("kept")).select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, docs["doc_id"].cast("bigint") == lost["_lost"], "left_anti")
+    """One document of each group stays, that of the smallest id: five-word shingles, similarity of 0.8 or more.
+
+    Of rows with equal id and text one stays. Rows with equal or null ids and other texts are
+    documents of their own; null ids are the largest.
+    """
+    docs, node = _marked(docs), "_pipeline_node"
+    keys = cut_lineage(docs.groupBy(node).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")))
+    found = near.near_duplicates(docs, size=5, percent=80, id_column=node).select(F.col("doc_id").alias(node), "component_id").distinct()
+    found = cut_lineage(found.join(keys.select(node, "doc_id"), node))
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", node)).alias("m")).select(F.col(f"m.{node}").alias(node))
+    lost = cut_lineage(found.select(node).join(first, node, "left_anti"))
+    repeated = keys.where("n > 1").select(node)
+    once = docs.join(lost.unionByName(repeated), node, "left_anti")
+    many = docs.join(repeated.join(lost, node, "left_anti"), node, "left_semi").dropDuplicates([node])
+    return once.unionByName(many).drop(node)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go if hit words of benchmark windows are at least one in 20."""
-    index = contamination.build_index(docs)
+    """Documents go if hit words of benchmark windows are at least one in 20; each row is judged by its own text."""
+    docs, node = _marked(docs), "_pipeline_node"
+    index = contamination.build_index(docs, id_column=node)
     found = contamination.judged(contamination.find_passages(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    lost = found.where("contaminated").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("bigint").eqNullSafe(lost["_lost"]), "left_anti")
+    lost = found.where("contaminated").select(F.col("doc_id").alias(node)).distinct()
+    return docs.join(lost, node, "left_anti").drop(node)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

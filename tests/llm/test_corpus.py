@@ -337,3 +337,19 @@ def test_pipeline_keeps_texts_without_any_label(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")
     kept = corpus_pipeline.language_id(spark, frame, "")
     assert kept.columns == frame.columns and sorted(r.score for r in kept.collect()) == [5, 7]
+
+
+def test_pipeline_judges_rows_with_null_and_repeated_ids(spark, tmp_path):
+    words = [f"w{n}" for n in range(900)]
+    a, b, c, d, e, f = (" ".join(words[n:n + 60]) for n in range(0, 360, 60))
+    rows = [(1, a, "x"), (5, a + " end", "lost"), (5, b, "x"), (None, c, "x"), (None, c + " end", "lost"), (None, d, "x"), (7, e, "x"), (7, e, "x"),
+            (8, None, "x"), (8, None, "x"), (None, f, "x"), (None, f, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_dedup(spark, frame, "")
+    # which of two near copies with null ids stays is open
+    found = sorted((r.doc_id or 0, (r.text or "").removesuffix(" end")) for r in kept.collect())
+    assert kept.columns == frame.columns and found == sorted([(1, a), (5, b), (0, c), (0, d), (7, e), (8, ""), (0, f)])
+    spark.createDataFrame([(1, a), (2, c)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame = spark.createDataFrame([(1, a), (1, b), (None, c), (None, d), (None, None)], "doc_id long, text string")
+    kept = corpus_pipeline.decontaminate(spark, frame, str(tmp_path))
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, b), (None, d), (None, None)}
