@@ -3,8 +3,8 @@
 Each document gets 128 minima. Bands of four full minima name the buckets in which
 candidates meet. Of each minimum two low bits are kept, 256 bits a document; equal pairs of
 bits, corrected for chance collisions, estimate the similarity of a candidate, and those
-far below the threshold are let go before any set is read. The others are confirmed on
-whole sets.
+far below the threshold are let go before any set is read, unless a set is small. The others
+are confirmed on whole sets.
 
 Copies are folded into classes first. Buckets are then searched by stars, never by all
 pairs: every member meets one pivot of its bucket, and only while the bucket still holds
@@ -26,6 +26,8 @@ MINIMA, ROWS, BITS = 128, 4, 2
 BANDS = MINIMA // ROWS
 #: Standard deviations that an estimate may fall below the threshold.
 SLACK = 4.5
+#: Pairs with a smaller set go straight to the exact check: there the estimate saves little.
+SMALL = 64
 STAR_ROUNDS = 2
 #: Rows on either side of a block of comparisons.
 BLOCK = 256
@@ -97,8 +99,9 @@ def minima(items: np.ndarray) -> np.ndarray:
 
 
 def packed_bits(least: np.ndarray) -> np.ndarray:
-    """The low bits of all minima, in 64-bit words."""
-    low = (least & np.uint64(3)).reshape(-1, 32)
+    """Low bits of all minima, in 64-bit words. Mixed first, as the low bits of factors and shifts
+    alone would let two items agree in all minima or in none."""
+    low = (_mixed(least) & np.uint64(3)).reshape(-1, 32)
     return np.bitwise_or.reduce(low << (np.arange(32, dtype=np.uint64) * np.uint64(BITS)), axis=1).view(np.int64)
 
 
@@ -221,7 +224,8 @@ def _settled(cells: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
                 differing = bits[others] ^ bits[y]
                 differing = np.bitwise_count((differing | differing >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1)
                 small, large = np.minimum(sizes[others], sizes[y]), np.maximum(sizes[others], sizes[y])
-                fit = (first == band) & (label[others] != label[y]) & (MINIMA - differing.astype(np.int64) >= limit) & (100 * small >= percent * large)
+                fit = (first == band) & (label[others] != label[y]) & ((small < SMALL) | (MINIMA - differing.astype(np.int64) >= limit)) & (
+                    100 * small >= percent * large)
                 if not fit.any():
                     continue
                 at = np.searchsorted(items[y], flat)
@@ -263,7 +267,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
         a = bits.select(F.col("node").alias("a"), F.col("bits").alias("p"), F.col("n_shingles").alias("n"))
         b = bits.select(F.col("node").alias("b"), F.col("bits").alias("q"), F.col("n_shingles").alias("m"))
         both = pairs.join(a, "a").join(b, "b")
-        return both.where((equal_minima("p", "q") >= limit) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("a", "b").distinct()
+        plausible_bits = (F.least("n", "m") < SMALL) | (equal_minima("p", "q") >= limit)
+        return both.where(plausible_bits & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("a", "b").distinct()
 
     def labelled(rows: DataFrame) -> DataFrame:
         if labels is None:

@@ -200,6 +200,20 @@ def test_near_duplicates_equal_all_pairs(spark, docs, none):
     assert len(again) == len(TEXTS) + 2 and [r.kept for r in again if r.doc_id is None] == [True]
 
 
+def test_chance_collisions_of_bits_differ_between_minima():
+    one, other = (np.array([near.packed_bits(np.uint64(x) * near._FACTORS + near._SHIFTS)]).view(np.uint64) for x in (1, 5))  # equal mod 4
+    differing = one ^ other
+    agreed = near.MINIMA - int(np.bitwise_count((differing | differing >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum())
+    assert 10 < agreed < 60  # 32 are expected; residues mod 4 alone give all 128
+
+
+def test_small_sets_skip_the_estimate(spark, monkeypatch):
+    monkeypatch.setattr(near, "least_agreement", lambda percent: near.MINIMA + 1)
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h i")]
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: r.kept for r in found} == {1: True, 2: False}
+
+
 def test_components(spark):
     chain = [(n, n + 1) for n in range(40)] + [(100, 101), (7, 7)]
     found = {r.node: r.label for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
