@@ -21,7 +21,8 @@ from ratiowatch.llm.encoding import batches_of
 
 UNDETERMINED = "und"
 #: Bounds of the training sample: labelled rows of each language, characters of each row, symbols
-#: of each language and of all languages together, and distinct letters. Scoring has no bound.
+#: of each language and of all languages together, and distinct letters of all languages together.
+#: Scoring has no bound on texts, but letters beyond LETTERS match nothing there either.
 SAMPLE_DOCS, ROW_CHARACTERS, SAMPLE_SYMBOLS, ALL_SYMBOLS, LETTERS = 80, 4_000, 25_000, 200_000, 94
 BLOCK = 256
 
