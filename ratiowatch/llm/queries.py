@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratiowatch.llm import archive, contamination, counts, language, lines, near, packing, quality, secrets, token_ids
+from ratiowatch.llm import (archive, chat, contamination, counts, language, lines, near, packing, quality, ranked, secrets,
+                            token_ids, whitening)
 from ratiowatch.llm.encoding import vocabulary
 from ratiowatch.llm.sql import SQL  # noqa: F401
 from ratiowatch.session import scratch_path
@@ -67,6 +68,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_conversations(rows)).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_ids, op2_line_dedup, op3_quality_rules, op4_secret_scan, op5_near_dedup, op6_decontamination, op7_best_fit_packing, op8_warc,
-    op9_token_counts, op10_language_id)}
+    op9_token_counts, op10_language_id, op11_embedding_whitening, op12_ranked_search, op13_chat_formatting)}
