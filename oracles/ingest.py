@@ -78,7 +78,11 @@ SQL = {
       trim(regexp_replace(unnest(l),'\\s+',' ','g')) AS line FROM (SELECT doc_id, regexp_split_to_array(text,'\\r\\n|\\r|\\n') AS l FROM documents))
       WHERE line<>''""",
     "read_delimited": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal FROM customer",
-    "read_grid": "SELECT s_suppkey||'/'||s_name||'/'||s_nationkey AS line FROM supplier",
+    "read_quoted": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name||chr(10)||c_mktsegment||', "'||c_nationkey||'"'||chr(10) AS note,
+      CAST(c_acctbal AS VARCHAR) AS c_acctbal FROM customer""",
+    "read_grid": "SELECT s_suppkey||'/'||s_name||chr(10)||'|'||s_nationkey||'/'||s_nationkey AS line, true AS in_order FROM supplier",
+    "file_statements": sql("statements", f"""SELECT 'Customer '||company_id AS company_id, {FY.format(d='period')} AS period,
+      floor(Revenue)*1000 AS Revenue, floor(Net_Profit)*100000 AS Net_Profit, floor(Total_Assets)*1000 AS Total_Assets FROM statements"""),
     "sink_roundtrip": sql("loans", "SELECT loan_id, loan_amount, loan_status, country FROM loans"),
     "stack_tables": """SELECT c_name AS party, c_acctbal AS balance, c_mktsegment AS segment, NULL::INT AS nation FROM customer
       UNION ALL SELECT s_name, s_acctbal, NULL, s_nationkey FROM supplier""",

@@ -52,34 +52,58 @@ def _known(cell: Column, names) -> Column:
     return F.coalesce(text.label_key(cell).isin(*names), F.lit(False))
 
 
+#: Score and row in one number, so that a maximum needs no sort.
+ROWS = 1 << 40
+NOTE_WORD = r"(?i)\b(?:in|amounts?|figures?|values?)\b"
+
+
+def _best(fits: Column, score: Column) -> Column:
+    return F.max(F.when(fits, score * F.lit(ROWS) - C("row_no").cast("bigint")))
+
+
+def _row_of(best: Column) -> Column:
+    return F.pmod(-best, F.lit(ROWS))
+
+
 def header_row(grid: DataFrame) -> DataFrame:
     """Best header row per table, the first one on equal scores."""
-    ranked = header_scores(grid).filter("fits")
-    rows = F.lit(1 << 40)  # score and row in one number, so that the maximum needs no sort
-    best = ranked.groupBy("table_id").agg(F.max(C("score") * rows - C("row_no")).alias("best"), F.max("score").alias("score"))
-    return best.select("table_id", (C("score") * rows - C("best")).cast(ranked.schema["row_no"].dataType).alias("header_row"), "score")
+    best = header_scores(grid).filter("fits").groupBy("table_id").agg(_best(C("fits"), C("score")).alias("best"), F.max("score").alias("score"))
+    return best.select("table_id", _row_of(C("best")).cast(grid.schema["row_no"].dataType).alias("header_row"), "score")
 
 
 def table_heads(grid: DataFrame) -> DataFrame:
-    """Per table: header cells, what each means, and the unit of its amounts."""
-    best = F.when(C("fits"), F.struct(C("score"), -C("row_no")))
-    heads = header_scores(grid).groupBy("table_id").agg(
-        F.max_by("row_no", best).alias("header_row"), F.max_by("cells", best).alias("header"),
-        F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("probe"))  # at most 15 rows
-    heads = heads.filter(C("header_row").isNotNull())
-    before = F.flatten(F.transform(
-        F.filter("probe", lambda r: r["row_no"] < C("header_row")), lambda r: r["cells"]))
+    """Per table: header cells, what each means, and the unit of its amounts.
+
+    One aggregate of numbers finds the header and, for each kind of unit line, the first row
+    that has one; a line counts if its row is above the header. Only rows that could be a
+    header are then met again for their cells.
+    """
+    scored = header_scores(grid)
+    cell_scales = F.transform("cells", numbers.unit_scale)
+    hints = F.filter("cells", lambda c: F.lower(c).rlike(numbers.UNIT_LINE) & (numbers.unit_scale(c) != 1.0))
+    row = C("row_no").cast("bigint")
+    marks = scored.select("table_id", "row_no", "fits", "score", cell_scales.alias("cell_scales"),
+                          F.when(F.size(hints) > 0, numbers.unit_scale(F.get(hints, 0))).alias("hint"),
+                          F.exists("cells", lambda c: F.coalesce(c.rlike(NOTE_WORD), F.lit(False))).alias("noted"))
+    kinds = [factor for _, factor in numbers.UNIT_SCALES]
+    # the first hinted row and the place of its unit among the kinds, in one number
+    place = F.array_position(F.array(*[F.lit(k) for k in kinds]), C("hint")) - 1
+    found = marks.groupBy("table_id").agg(
+        _best(C("fits"), C("score")).alias("best"), F.min(F.when(C("hint").isNotNull(), row * len(kinds) + place)).alias("first_hint"),
+        F.min(F.when(C("noted"), row)).alias("first_note"),
+        *[F.min(F.when(F.array_contains("cell_scales", F.lit(k)), row)).alias(f"first_{n}") for n, k in enumerate(kinds)])
+    found = found.filter(C("best").isNotNull()).withColumn("at", _row_of(C("best")))
+    named = F.coalesce(*[F.when(C(f"first_{n}") < C("at"), F.lit(k)) for n, k in enumerate(kinds)], F.lit(1.0))
+    hinted = F.floor(C("first_hint") / len(kinds)).cast("bigint") < C("at")
+    above = (F.when(hinted, F.get(F.array(*[F.lit(k) for k in kinds]), F.pmod("first_hint", F.lit(len(kinds))).cast("int")))
+             .when(C("first_note") < C("at"), named).otherwise(F.lit(1.0)))
+    facts = found.select(C("table_id").alias("of_table"), "at", above.alias("above"))
+    candidates = scored.filter("fits").select("table_id", "row_no", C("cells").alias("header"))
+    heads = candidates.join(facts, C("table_id").eqNullSafe(C("of_table")) & (C("row_no") == C("at")))
     labels = F.filter("header", lambda c: _known(c, (*COMPANY_HEADERS, *ITEM_HEADERS)) & (numbers.unit_scale(c) != 1.0))
-    lines = F.filter(F.concat(before, labels), lambda c: c.isNotNull())
-    hinted = F.filter(lines, lambda c: F.lower(c).rlike(numbers.UNIT_LINE) & (numbers.unit_scale(c) != 1.0))
-    joined = F.array_join(lines, "\n")
-    scale = (
-        F.when(F.size(labels) > 0, numbers.unit_scale(F.array_join(labels, "\n")))
-        .when(F.size(hinted) > 0, numbers.unit_scale(F.get(hinted, 0)))
-        .when(joined.rlike(r"(?i)\b(?:in|amounts?|figures?|values?)\b"), numbers.unit_scale(joined))
-        .otherwise(F.lit(1.0)))
+    label_scale = numbers.unit_scale(F.array_join(labels, "\n"))
     return heads.select(
-        "table_id", "header_row", "header", scale.alias("table_scale"),
+        "table_id", C("row_no").alias("header_row"), "header", F.when(F.size(labels) > 0, label_scale).otherwise(C("above")).alias("table_scale"),
         F.transform("header", metric_of).alias("metrics"),
         F.transform("header", numbers.unit_scale).alias("scales"),
         periods.parse_periods(C("header")).alias("header_periods"),

@@ -125,10 +125,41 @@ def q_read_delimited(spark, sf_dir):
     return delimited.read_delimited(spark, path)
 
 
+def q_read_quoted(spark, sf_dir):
+    """Values that span lines and hold separators and quotes."""
+    path = _file(spark)
+    note = F.concat("c_name", F.lit("\n"), "c_mktsegment", F.lit(', "'), "c_nationkey", F.lit('"\n'))
+    delimited.write_delimited(driver.table(spark, sf_dir, "customer").select("c_custkey", note.alias("note"), "c_acctbal"), path)
+    return delimited.read_delimited(spark, path)
+
+
 def q_read_grid(spark, sf_dir):
+    """Every row with its number in its file, which the writer noted too; some values span lines."""
+    path = _file(spark)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    driver.table(spark, sf_dir, "supplier").repartition(3).select(
+        place.cast("string").alias("place"), "s_suppkey", F.concat("s_name", F.lit("\n|"), "s_nationkey").alias("name"), "s_nationkey").write.csv(
+        path, sep="|", escape='"')
+    return delimited.read_grid(spark, path).select(
+        F.array_join(F.slice("cells", 2, 3), "/").alias("line"), (C("row_no") == F.get("cells", F.lit(0)).cast("bigint")).alias("in_order"))
+
+
+STATEMENT_FILES = 16
+
+
+def q_file_statements(spark, sf_dir):
+    """Statement tables out of delimited files: a note, a header, and the companies of the file."""
     path = _file(spark)
-    driver.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey").write.csv(path, sep="|")
-    return delimited.read_grid(spark, path).select(F.array_join("cells", "/").alias("line"))
+    data = driver.wide_grid(spark, sf_dir)
+    file = F.pmod(F.crc32(C("table_id")), F.lit(STATEMENT_FILES))
+    first = data.groupBy(file.alias("file")).agg(F.min("table_id").alias("first_table"))
+    rows = data.withColumn("file", file).join(first, "file").where((C("row_no") > 1) | (C("table_id") == C("first_table")))
+    top = F.when(C("row_no") <= 1, C("row_no")).otherwise(2)
+    quoted = F.transform("cells", lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"')))
+    lines = rows.repartition(STATEMENT_FILES, "file").sortWithinPartitions("file", top, "table_id", "row_no")
+    lines.select("file", F.array_join(quoted, ",").alias("value")).write.partitionBy("file").text(path)
+    grid = delimited.read_grid(spark, path)
+    return documents.wide_records(grid).select("company_id", "period", "Revenue", "Net_Profit", "Total_Assets")
 
 
 def q_sink_roundtrip(spark, sf_dir):

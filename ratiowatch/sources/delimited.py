@@ -2,45 +2,74 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ratiowatch.sources import records
+
 SEPARATORS = (",", ";", "\t", "|")
 
 
 def sniff(spark: SparkSession, path: str) -> tuple[str, str, bool]:
-    """Separator, encoding and whether a quoted value spans lines, in one pass over all lines.
+    """Separator, encoding and whether there are quotes, in one pass over all lines.
 
-    Separators inside quotes do not count, and lines with an open quote have no say."""
+    The separator is the one that most lines hold outside quotes, then the one with more of
+    them on every such line, then the more even one: lines inside a quoted value and titles
+    above a table hold few.
+    """
     lines = spark.read.text(path).filter(F.length("value") > 0)
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
     bare = F.regexp_replace("value", '"[^"]*"', "")
-    least = [F.min(F.when(quotes % 2 == 0, F.length(bare) - F.length(F.translate(bare, s, "")))).alias(f"c{n}") for n, s in enumerate(SEPARATORS)]
-    found = lines.agg(F.count(F.lit(1)).alias("n"), *least, F.max(~F.is_valid_utf8("value")).alias("broken"),
-                      F.max(quotes % 2 == 1).alias("open")).first()
+    wanted = []
+    for n, separator in enumerate(SEPARATORS):
+        held = F.nullif(F.length(bare) - F.length(F.translate(bare, separator, "")), F.lit(0))
+        wanted += [F.count(held).alias(f"n{n}"), F.min(held).alias(f"least{n}"), F.coalesce(F.stddev_pop(held), F.lit(0.0)).alias(f"spread{n}")]
+    found = lines.agg(F.count(F.lit(1)).alias("n"), F.max(~F.is_valid_utf8("value")).alias("broken"),
+                      F.max(F.contains("value", F.lit('"'))).alias("quoted"), *wanted).first()
     if not found["n"]:
         raise ValueError("The file is empty.")
-    separator = max(SEPARATORS, key=lambda s: found[f"c{SEPARATORS.index(s)}"] or 0)
-    return separator, "ISO-8859-1" if found["broken"] else "UTF-8", bool(found["open"])
+    best = max(range(len(SEPARATORS)), key=lambda n: (found[f"n{n}"], found[f"least{n}"] or 0, -found[f"spread{n}"]))
+    return SEPARATORS[best], "ISO-8859-1" if found["broken"] else "UTF-8", bool(found["quoted"])
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
                    encoding: str | None = None) -> DataFrame:
-    """A table with a header line; every column is text and is typed later."""
-    found = sniff(spark, path)
-    separator, encoding = separator or found[0], encoding or found[1]
-    return spark.read.csv(path, header=True, sep=separator, encoding=encoding, mode="PERMISSIVE",
-                          multiLine=found[2], ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """A table with a header line; every column is text and is typed later.
+
+    Quotes inside a quoted value are doubled. Where values span lines, the files are cut
+    into records by ``records``, split by split; no file becomes one task for it. The header
+    is the first record of the first file by name, and every file has one.
+    """
+    sniffed, found, quoted = sniff(spark, path)
+    separator, encoding = separator or sniffed, encoding or found
+    options = dict(sep=separator, mode="PERMISSIVE", escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    known = records.layout(spark, path, separator) if quoted else None
+    if known is None or not known.breaks:
+        return spark.read.csv(path, header=True, encoding=encoding, **options)
+    rows = records.records(spark, path, separator, encoding, known)
+    first = records.cells_of(rows.where("row_no = 0").orderBy("path").limit(1), separator).first()
+    names = [name or f"_c{n}" for n, name in enumerate(first["cells"])]
+    names = [name if names.count(name) == 1 else f"{name}{n}" for n, name in enumerate(names)]
+    schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
+    parsed = F.from_csv("record", F.lit(schema), {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()})
+    return rows.where("row_no > 0").select(parsed.alias("r")).select("r.*")
 
 
 def read_grid(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """A table without a header as (file, row text cells); rows keep no order of their own."""
-    found, encoding, spans = sniff(spark, path)
-    frame = spark.read.csv(path, header=False, sep=separator or found, encoding=encoding, mode="PERMISSIVE", multiLine=spans)
-    return frame.select(F.col("_metadata.file_name").alias("table_id"), F.array(*frame.columns).alias("cells"))
+    """Tables without a header as (table_id, row_no, cells): the file's place under ``path``, the row's number in it from 0, all its cells.
+
+    Rows may differ in length. Numbers come from counts per file split and their sums, so
+    nothing is sorted, and the rows can be read as statement grids.
+    """
+    sniffed, encoding, _ = sniff(spark, path)
+    separator = separator or sniffed
+    rows = records.cells_of(records.records(spark, path, separator, encoding), separator)
+    inner = F.regexp_extract("path", rf"/{re.escape(path.rstrip('/').split('/')[-1])}/(.*)$", 1)  # files of several folders may share a name
+    return rows.select(F.coalesce(F.nullif(inner, F.lit("")), "name").alias("table_id"), "row_no", "cells")
 
 
 def write_delimited(frame: DataFrame, path: str) -> None:
-    frame.write.csv(path, header=True)
+    frame.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def stack(*tables: DataFrame) -> DataFrame:

@@ -123,6 +123,76 @@ def test_delimited_files(spark, tmp_path):
     assert delimited.read_grid(spark, str(tmp_path / "a.csv")).count() == 3
 
 
+ODD_VALUES = ["x", "a;b", "two\nlines", 'q"uote', '"', "\n\n", "", "é", '5" pipe', "l\r\nm", 'all ";\n"" of it', "x" * 40]
+
+
+@pytest.fixture
+def odd_files(tmp_path):
+    """Two files of quoted values, and what a plain reader says of them."""
+    import csv
+    import random
+
+    draw, rows = random.Random(5), []
+    for n in range(300):
+        rows.append([f"r{n}", *draw.choices(ODD_VALUES, k=3)])
+    for name, part in (("a.csv", rows), ("b.csv", rows[:5])):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8-sig") as file:
+            csv.writer(file, delimiter=";").writerows([["id", "p", "q", "r"], *part])
+    return tmp_path, rows
+
+
+@pytest.mark.parametrize("size", [1 << 20, 200, 41])
+def test_records_across_file_splits(spark, odd_files, size):
+    from ratiowatch.sources import records
+
+    path, rows = str(odd_files[0]), odd_files[1]
+    plain = sorted([tuple(v or None for v in r) for r in rows + rows[:5]], key=str)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = records.layout(spark, path, ";")
+        assert found.breaks > 300 and (size > 10_000 or found.starts.count() > 3) and (size > 1000 or found.across > 0)
+        grid = delimited.read_grid(spark, path).collect()
+        assert sorted([tuple(r.cells) for r in grid if r.row_no], key=str) == plain
+        assert [r.cells for r in sorted(grid, key=lambda r: r.row_no) if r.table_id == "a.csv"][1:] == [[v or None for v in r] for r in rows]
+        frame = delimited.read_delimited(spark, path)
+        assert frame.columns == ["id", "p", "q", "r"] and sorted(map(tuple, frame.collect()), key=str) == plain
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+
+
+def test_quoted_latin_text_and_values_never_closed(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('name,note\r\nCaf\xe9,"one\r\ntwo"\r\n\r\nB,5" pipe\r\nC,"open\r\nto the end'.encode("latin-1"))
+    frame = delimited.read_delimited(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in frame.collect()) == [("B", '5" pipe'), ("C", "open\r\nto the end"), ("Café", "one\r\ntwo")]
+    rows = {r.row_no: r.cells for r in delimited.read_grid(spark, str(tmp_path)).collect()}
+    assert rows == {0: ["name", "note"], 1: ["Café", "one\r\ntwo"], 2: ["B", '5" pipe'], 3: ["C", "open\r\nto the end"]}
+
+
+def test_grid_rows_of_any_width_feed_the_statements(spark, tmp_path):
+    (tmp_path / "book.csv").write_text('"All figures in Rs. Lakhs"\n\n"Company","Year","Sales","Total\nAssets"\nAcme,2024,"1,000","20"\n')
+    grid = delimited.read_grid(spark, str(tmp_path))
+    assert [(r.row_no, len(r.cells)) for r in grid.orderBy("row_no").collect()] == [(0, 1), (1, 4), (2, 4)]
+    row = documents.wide_records(grid).first()
+    assert (row.table_id, row.company_id, row.Revenue, row.Total_Assets) == ("book.csv", "Acme", 1e8, 2e6)
+
+
+def test_units_count_only_above_the_header(spark):
+    head = ["Company Name", "Financial Year", "Turnover"]
+    tables = {"below": [head, ["Acme", "2024", "10"], ["Amounts in crores", None, None]],
+              "word": [["Prepared in 2024", "thousand copies", None], head, ["Acme", "2024", "10"]],
+              "first": [["Figures in lakhs", "values in crores", None], ["Amounts in thousands", None, None], head, ["Acme", "2024", "10"]],
+              "none": [["thousand copies", None, None], head, ["Acme", "2024", "10"]]}
+    both = None
+    for name, rows in tables.items():
+        both = grid(spark, rows, name) if both is None else both.unionByName(grid(spark, rows, name))
+    assert {r.table_id: r.table_scale for r in documents.table_heads(both).collect()} == {"below": 1.0, "word": 1e3, "first": 1e5, "none": 1.0}
+    plan = documents.table_heads(both)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "collect_list" not in plan
+
+
 def customers(spark):
     rows = []
     for i in range(80):
