@@ -28,10 +28,14 @@ STAB = """stab AS (SELECT year(period) AS revision, count(ix) AS scored_records,
   round(median(ix),6) AS median_index, count(*) FILTER (ix>=60) AS elevated_records,
   count(*) FILTER (ix>=60)/count(ix) AS elevated_share FROM risk GROUP BY 1)"""
 SQL = {
-    "snapshots": sql("loans", """SELECT CAST(year(origination_date) AS INT) AS revision, count(*) AS records, 4::BIGINT AS columns,
-      round(sum(CAST(risk_status IS NULL AS INT))*100::DOUBLE/(count(*)*4),6) AS missing_percent,
-      count(*)-count(DISTINCT (customer_id, loan_status, coalesce(risk_status,'~'), segment)) AS duplicates
-      FROM loans GROUP BY 1"""),
+    "snapshots": sql("loans", """SELECT CAST(year(origination_date) AS INT) AS revision, count(*) AS records, 10::BIGINT AS columns,
+      round(sum(CAST(risk_status IS NULL AS INT)+CAST(loan_status IS NULL AS INT))*100::DOUBLE/(count(*)*10),6) AS missing_percent,
+      count(*)-count(DISTINCT loan_id) AS duplicates FROM loans GROUP BY 1"""),
+    "snapshot_distributions": sql("loans", """SELECT CAST(year(origination_date) AS INT) AS revision, feature, value, count(*) AS records
+      FROM (SELECT origination_date, unnest(['loan_amount','credit_score']) AS feature, unnest([loan_amount::DOUBLE, credit_score::DOUBLE]) AS value FROM loans)
+      WHERE value IS NOT NULL GROUP BY 1,2,3"""),
+    "stored_drift": sql("features", """SELECT metric, baseline, current, unit, status, round(current-baseline,6) AS change
+      FROM drift""", PSI + "," + SHAPE),
     "psi": sql("features", "SELECT feature, psi, status FROM labelled", PSI),
     "drift_report": sql("features", """SELECT metric, baseline, current, unit, status, round(current-baseline,6) AS change
       FROM drift""", PSI + "," + SHAPE),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ratiowatch.functions import bands
+from ratiowatch.operators.brackets import order_statistics
 from ratiowatch.operators.quantiles import exact_quantiles, to_long
 from ratiowatch.schema import MONITORED_FEATURES
 
@@ -33,37 +36,128 @@ def snapshots(frame: DataFrame, revision: str) -> DataFrame:
         "duplicates")
 
 
+def _index(base: dict[int, int], latest: dict[int, int]) -> float:
+    """Stability index of two sets of bin counts."""
+    n_base, n_latest = sum(base.values()), sum(latest.values())
+    total = 0.0
+    for k in sorted(base.keys() | latest.keys()):
+        before, now = base.get(k, 0) / n_base, latest.get(k, 0) / n_latest
+        total += (now - before) * math.log((now + PSI_FLOOR) / (before + PSI_FLOOR))
+    return total
+
+
+def _stability_table(spark: SparkSession, columns: list[str], found: dict[str, float | None]) -> DataFrame:
+    rows = [(name, place, found.get(name)) for place, name in enumerate(columns)]
+    table = spark.createDataFrame(rows, "feature string, place int, psi double").withColumn("psi", F.round("psi", 6))
+    return table.withColumn("status", bands.psi_label(C("psi")))
+
+
+def _inner(edges: list[float | None]) -> list[float]:
+    """Borders between bins: distinct quantiles without the ends."""
+    return sorted({e for e in edges if e is not None})[1:-1]
+
+
+def _bin(value: Column, inner: list[float]) -> Column:
+    """Number of borders at or below the value."""
+    number = F.when(value < F.lit(inner[0]), 0)
+    for k, edge in enumerate(inner[1:], 1):
+        number = number.when(value < F.lit(edge), k)
+    return number.otherwise(len(inner))
+
+
 def psi(baseline: DataFrame, current: DataFrame, columns: list[str], bins: int = PSI_BINS) -> DataFrame:
     """Stability index per column: bins are the baseline's quantiles, left-closed.
 
-    Edges are one short row per column, so broadcasting them is bounded by the number of
-    columns. Null where a side is empty or constant, or fewer than two bins remain.
+    The baseline is read twice for its exact quantiles, then each side once for its counts.
+    Null where a side is empty or constant, a column is absent, or fewer than two bins remain.
+    """
+    spark = baseline.sparkSession
+    shared = [n for n in columns if n in baseline.columns and n in current.columns]
+    places = {f"e{i}": i / bins for i in range(bins + 1)}
+    known = order_statistics(baseline, {n: C(n) for n in shared}, places)
+    inner = {n: _inner(list(known[n].values.values())) for n in shared}
+    wanted = [n for n in shared if inner[n]]
+    if not wanted:
+        return _stability_table(spark, columns, {})
+
+    def counted(frame: DataFrame, side: str) -> DataFrame:
+        cells = [F.struct(F.lit(n).alias("feature"), C(n).cast("double").alias("value"), _bin(C(n).cast("double"), inner[n]).alias("bin")) for n in wanted]
+        rows = frame.select(F.explode(F.array(*cells)).alias("r")).select("r.*").filter(C("value").isNotNull() & ~F.isnan("value"))
+        return rows.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).withColumn(
+            "side", F.lit(side))
+
+    rows = counted(baseline, "base").unionByName(counted(current, "latest")).collect()  # a row per column, bin and side
+    return _stability_table(spark, columns, _indices(wanted, rows))
+
+
+def _indices(names: list[str], rows: list) -> dict[str, float | None]:
+    """Index per feature from its bin counts; null where a side is empty or constant."""
+    found: dict[str, float | None] = {}
+    for name in names:
+        mine = {side: [r for r in rows if r["feature"] == name and r["side"] == side] for side in ("base", "latest")}
+        varied = all(part and min(r["low"] for r in part) < max(r["high"] for r in part) for part in mine.values())
+        found[name] = _index(*({r["bin"]: r["n"] for r in mine[side]} for side in ("base", "latest"))) if varied else None
+    return found
+
+
+def distributions(frame: DataFrame, revision: str, columns: list[str]) -> DataFrame:
+    """(revision, feature, value, records): every feature's values with their counts, nulls left out.
+
+    States of parts of a revision are merged by ``merged``; equal values fold on the map side.
     """
-    base, latest = to_long(baseline, [], columns), to_long(current, [], columns)
-    names = {f"e{i}": i / bins for i in range(bins + 1)}
-    quantiles = exact_quantiles(base, ["variable"], "value", names, bounded_groups=True)
-    all_edges = F.array_distinct(F.array(*names))
-    edges = quantiles.select(C("variable").alias("edge_variable"), all_edges.alias("edges"))
-    edges = edges.withColumn("inner", F.when(F.size("edges") > 2, F.slice("edges", F.lit(2), F.size("edges") - 2)))
-    both = base.withColumn("side", F.lit("base")).unionByName(latest.withColumn("side", F.lit("latest")))
-    both = both.filter(C("value").isNotNull() & ~F.isnan("value"))
-    binned = both.join(F.broadcast(edges), C("variable") == C("edge_variable"), "left").withColumn(
-        "bin", F.size(F.filter("inner", lambda e: e <= C("value"))))
-    counts = binned.groupBy("variable", "bin").agg(
-        *[F.count_if(C("side") == side).alias(f"n_{side}") for side in ("base", "latest")],
-        *[F.min(F.when(C("side") == side, C("value"))).alias(f"min_{side}") for side in ("base", "latest")],
-        *[F.max(F.when(C("side") == side, C("value"))).alias(f"max_{side}") for side in ("base", "latest")],
-        F.max(C("inner").isNotNull()).alias("usable"))
-    whole = Window.partitionBy("variable")
-    shares = counts.select("*", *[
-        F.try_divide(C(f"n_{side}"), F.sum(f"n_{side}").over(whole)).alias(f"s_{side}") for side in ("base", "latest")])
-    step = (C("s_latest") - C("s_base")) * F.log((C("s_latest") + PSI_FLOOR) / (C("s_base") + PSI_FLOOR))
-    varied = (F.min("min_base") < F.max("max_base")) & (F.min("min_latest") < F.max("max_latest"))
-    scored = shares.groupBy("variable").agg(
-        F.when(varied & F.max("usable"), F.round(F.sum(step), 6)).alias("psi"))
-    listed = scored.sparkSession.createDataFrame([(n, i) for i, n in enumerate(columns)], "feature string, place int")
-    return listed.join(scored, C("feature") == C("variable"), "left").select(
-        "feature", "place", "psi", bands.psi_label(C("psi")).alias("status"))
+    present = [n for n in columns if n in frame.columns]
+    return to_long(frame, [revision], present).filter(C("value").isNotNull() & ~F.isnan("value")).groupBy(
+        revision, C("variable").alias("feature"), "value").agg(F.count(F.lit(1)).alias("records"))
+
+
+def merged(*states: DataFrame) -> DataFrame:
+    """The state of all rows that the states stand for."""
+    revision, feature, value, records = states[0].columns
+    both = states[0]
+    for state in states[1:]:
+        both = both.unionByName(state)
+    return both.groupBy(revision, feature, value).agg(F.sum(records).alias(records))
+
+
+def stored_psi(base: DataFrame, latest: DataFrame, columns: list[str], bins: int = PSI_BINS) -> DataFrame:
+    """``psi`` from two stored states (feature, value, records), without the rows they came from."""
+    places = {f"e{i}": i / bins for i in range(bins + 1)}
+    edges = {r["feature"]: _inner([r[e] for e in places]) for r in exact_quantiles(
+        base, ["feature"], "value", places, bounded_groups=True, weight="records").collect()}
+    wanted = [n for n in columns if edges.get(n)]
+    if not wanted:
+        return _stability_table(base.sparkSession, columns, {})
+    number = F.coalesce(*[F.when(C("feature") == n, _bin(C("value"), edges[n])) for n in wanted])
+    both = base.select("feature", "value", "records", F.lit("base").alias("side")).unionByName(
+        latest.select("feature", "value", "records", F.lit("latest").alias("side")))
+    rows = both.filter(C("feature").isin(wanted)).groupBy("side", "feature", number.alias("bin")).agg(
+        F.sum("records").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    return _stability_table(base.sparkSession, columns, _indices(wanted, rows))
+
+
+def save_snapshot(frame: DataFrame, revision: str, folder: str, features=MONITORED_FEATURES) -> None:
+    """Keep the state of the revisions in ``frame`` in a folder: shape and distributions, partitioned by revision.
+
+    A revision that is saved again replaces its earlier state; others stay.
+    """
+    for name, table in (("shape", snapshots(frame, revision)), ("distributions", distributions(frame, revision, list(features)))):
+        table.withColumnRenamed(revision, "revision").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "revision").parquet(f"{folder}/{name}")
+
+
+def stored_drift(spark: SparkSession, folder: str, base, latest, features=MONITORED_FEATURES) -> DataFrame:
+    """``drift_report`` between two revisions in a snapshot folder; only their own files are read."""
+    shapes = spark.read.parquet(f"{folder}/shape").filter(C("revision").isin(base, latest))
+    sided = shapes.withColumn("side", F.when(C("revision") == base, "base").otherwise("latest")).drop("revision")
+    states = spark.read.parquet(f"{folder}/distributions")
+
+    def state(revision) -> DataFrame:
+        return states.filter(C("revision") == revision).select("feature", "value", "records")
+
+    if shapes.select("revision").distinct().count() < 2:
+        raise ValueError("Both revisions must have been saved.")
+    present = {r["feature"] for r in states.filter(C("revision").isin(base, latest)).select("feature").distinct().collect()}
+    return _report(sided, stored_psi(state(base), state(latest), [n for n in features if n in present]))
 
 
 def drift_report(baseline: DataFrame, current: DataFrame, features=MONITORED_FEATURES) -> DataFrame:
@@ -72,8 +166,11 @@ def drift_report(baseline: DataFrame, current: DataFrame, features=MONITORED_FEA
         return snapshots(frame.withColumn("side", F.lit(side)), "side")
 
     present = [name for name in features if name in baseline.columns or name in current.columns]
-    shapes = shape(baseline, "base").unionByName(shape(current, "latest"))
+    return _report(shape(baseline, "base").unionByName(shape(current, "latest")), psi(baseline, current, present))
+
 
+def _report(shapes: DataFrame, stable: DataFrame) -> DataFrame:
+    """Shape metrics of both sides, and the stability rows."""
     def at(side: str, name: str) -> Column:
         return F.max(F.when(C("side") == side, C(name).cast("double")))
 
@@ -84,7 +181,7 @@ def drift_report(baseline: DataFrame, current: DataFrame, features=MONITORED_FEA
         F.lit(place).alias("place"), F.lit(label).alias("metric"), C(f"base_{name}").alias("baseline"),
         C(f"latest_{name}").alias("current"), F.lit(unit).alias("unit"), F.lit("").alias("status"))
         for place, (label, name, unit) in enumerate(rows)])).alias("r")).select("r.*")
-    stability = psi(baseline, current, present).select(
+    stability = stable.select(
         (C("place") + len(rows)).alias("place"), F.concat(F.lit("PSI · "), C("feature")).alias("metric"),
         F.lit(None).cast("double").alias("baseline"), C("psi").alias("current"), F.lit("PSI").alias("unit"), "status")
     return metrics.unionByName(stability).withColumn("change", F.round(C("current") - C("baseline"), 6))

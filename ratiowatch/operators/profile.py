@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratiowatch.functions import periods, ratios, status
 from ratiowatch.operators import ordered
-from ratiowatch.operators.quantiles import exact_median, exact_quantiles, to_long
+from ratiowatch.operators.brackets import order_statistics
+from ratiowatch.operators.quantiles import exact_median, to_long
 from ratiowatch.operators.typing_rules import TableShape, long_values, ranked_numeric
 from ratiowatch.functions.text import header_alnum_key
+from ratiowatch.session import cut_lineage
 
 C = F.col
 MISSING = "Missing"
@@ -70,17 +72,22 @@ def dataset_quality(shape: TableShape) -> DataFrame:
                          F.round(F.lit(100.0) - share, 6).alias("quality_percent"), "duplicate_rows")
 
 
+#: The percentiles that summaries show.
+MARKS = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+
+
+def _moments(value: Column) -> dict[str, Column]:
+    return {"mean": F.avg(value), "std": F.when(F.count(value) > 1, F.stddev_samp(value)), "min": F.min(value), "max": F.max(value)}
+
+
 def numeric_summary(shape: TableShape) -> DataFrame:
-    rows = to_long(shape.data, [], shape.numeric)
-    marks = exact_quantiles(rows, ["variable"], "value",
-                            {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}, True)
-    moments = rows.groupBy(C("variable").alias("name")).agg(
-        F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"),
-        F.round(F.when(F.count("value") > 1, F.stddev_samp("value")), 4).alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    return moments.join(F.broadcast(marks), C("name") == C("variable"), "left").select(
-        C("name").alias("variable"), "n", "mean", "std", "min",
-        *[F.round(m, 6).alias(m) for m in ("p5", "p25", "p50", "p75", "p95")], "max")
+    """Count, moments, ends and exact percentiles per numeric column, from two readings of the table."""
+    known = order_statistics(shape.data, {n: C(n) for n in shape.numeric}, MARKS, _moments)
+    rows = [(n, k.n, *[k.facts[f] for f in ("mean", "std", "min")], *[k.values[m] for m in MARKS], k.facts["max"]) for n, k in known.items()]
+    table = shape.data.sparkSession.createDataFrame(
+        rows, "variable string, n bigint, mean double, std double, min double, " + ", ".join(f"{m} double" for m in MARKS) + ", max double")
+    return table.select("variable", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min",
+                        *[F.round(m, 6).alias(m) for m in MARKS], "max")
 
 
 def top_values(shape: TableShape, columns: list[str], most: int) -> DataFrame:
@@ -238,23 +245,22 @@ def exposure_columns(shape: TableShape, most: int = 3) -> list[str]:
 def top_decile_share(shape: TableShape, columns: list[str] | None = None) -> DataFrame:
     """Share of the total held by the largest tenth of the values.
 
-    The value at the cut is an exact order statistic; the sum above it plus the ties that
-    fit needs no sort of the column.
+    The value at the cut is an exact order statistic, found together with the number and the
+    sum of the values above it; the ties that fit are added. The table is read twice.
     """
     names = columns or exposure_columns(shape)
-    rows = to_long(shape.data, [], names).filter(C("value").isNotNull())
 
-    def taken(n: Column) -> Column:
-        return F.greatest(F.lit(1), F.ceil(n * 0.1))
+    def taken(n: int) -> int:
+        return max(1, -(-n // 10))
 
-    cut = exact_quantiles(rows, ["variable"], "value", {"cut": lambda n: n - taken(n)}, True).select(
-        C("variable").alias("cut_variable"), "cut")
-    sums = rows.join(F.broadcast(cut), C("variable") == C("cut_variable")).groupBy("variable").agg(
-        F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"), F.max("cut").alias("cut"),
-        F.sum(F.when(C("value") > C("cut"), C("value")).otherwise(0.0)).alias("above"),
-        F.count_if(C("value") > C("cut")).alias("n_above"))
-    top = C("above") + (taken(C("n")) - C("n_above")) * C("cut")
-    return sums.filter(C("total") > 0).select("variable", F.round(top / C("total"), 6).alias("top_decile_share"))
+    known = order_statistics(shape.data, {n: C(n) for n in names}, {"cut": lambda n: n - taken(n)}, lambda value: {"total": F.sum(value)})
+    rows = []
+    for name, column in known.items():
+        if column.n and column.facts["total"] > 0:
+            above, held = column.above["cut"]
+            rows.append((name, (held + (taken(column.n) - above) * column.values["cut"]) / column.facts["total"]))
+    table = shape.data.sparkSession.createDataFrame(rows, "variable string, share double")
+    return table.select("variable", F.round("share", 6).alias("top_decile_share"))
 
 
 # Measure -> header names accepted for it, in order.
@@ -317,8 +323,9 @@ def financial_metrics(shape: TableShape, order_key: str, unbounded_history: bool
         "Operating margin": either("Operating margin", over(m["EBITDA"], m["Revenue"])),
         "Cash flow": m["Operating cash flow"], "Receivables": m["Receivables"], "Inventory": m["Inventory"],
     }
-    rows = shape.data.select(*[value.alias(label) for label, value in chosen.items() if value is not None])
-    long = to_long(rows, [], rows.columns)
+    middle = {"median": 0.5}
+    medians = {label: k.values["median"] for label, k in order_statistics(
+        shape.data, {label: value for label, value in chosen.items() if value is not None}, middle).items()}
     period = find(PERIOD_FIELDS)
     if chosen["Revenue growth"] is None and m["Revenue"] is not None and period in shape.dates:
         company = find(COMPANY_FIELDS)
@@ -331,13 +338,11 @@ def financial_metrics(shape: TableShape, order_key: str, unbounded_history: bool
         else:
             window = Window.partitionBy("company").orderBy("period", "row_key")
             history = dated.withColumn("prior_revenue", F.lag("revenue").over(window))
-        growth = history.filter(C("prior_revenue") != 0).select(
-            F.lit("Revenue growth").alias("variable"), (C("revenue") / C("prior_revenue") - 1).alias("value"))
-        long = long.unionByName(growth)
-    medians = exact_median(long, ["variable"], "value", bounded_groups=True)
-    listed = _listed(shape, list(chosen), "metric")
-    return listed.join(F.broadcast(medians), C("metric") == C("variable"), "left").select(
-        "place", "metric", F.round("median", 6).alias("value"))
+        growth = cut_lineage(history.filter(C("prior_revenue") != 0).select((C("revenue") / C("prior_revenue") - 1).alias("growth")))
+        medians["Revenue growth"] = order_statistics(growth, {"growth": C("growth")}, middle)["growth"].values["median"]
+    listed = shape.data.sparkSession.createDataFrame(
+        [(place, label, medians.get(label)) for place, label in enumerate(chosen)], "place int, metric string, median double")
+    return listed.select("place", "metric", F.round("median", 6).alias("value"))
 
 
 def missing_ranking(shape: TableShape, most: int = 5) -> DataFrame:

@@ -126,7 +126,7 @@ def q_risk_segments(spark, sf_dir):
 
 
 def q_top_decile_share(spark, sf_dir):
-    return profile.top_decile_share(loan_outline(spark, sf_dir))
+    return profile.top_decile_share(typing_rules.outline(driver.loans(spark, sf_dir, places=False)))
 
 
 def q_financial_metrics(spark, sf_dir):
