@@ -16,12 +16,12 @@ from ratiowatch.functions import periods, ratios, status
 from ratiowatch.operators import ordered
 from ratiowatch.operators.brackets import order_statistics
 from ratiowatch.operators.quantiles import exact_median, to_long
-from ratiowatch.operators.typing_rules import TableShape, long_values, ranked_numeric
+from ratiowatch.operators.sketches import MISSING, frequent_values, long_values
+from ratiowatch.operators.typing_rules import TableShape, ranked_numeric
 from ratiowatch.functions.text import header_alnum_key
 from ratiowatch.session import cut_lineage
 
 C = F.col
-MISSING = "Missing"
 SAMPLE_PROBE_ROWS = 200
 
 
@@ -45,10 +45,11 @@ def sample_values(shape: TableShape, key: str, values: int = 3) -> dict[str, lis
 
 
 def column_profile(shape: TableShape, key: str) -> DataFrame:
-    samples = sample_values(shape, key)
+    samples, identifiers = sample_values(shape, key), shape.identifiers
+    shape.distinct.settle(shape.data.columns)
     rows = []
     for name in shape.data.columns:
-        meaning = ", ".join(shape.roles[name]) or ("Potential ID" if name in shape.identifiers else "")
+        meaning = ", ".join(shape.roles[name]) or ("Potential ID" if name in identifiers else "")
         rows.append((name, shape.kinds[name], shape.missing[name], shape.missing[name] * 100.0 / max(shape.rows, 1),
                      shape.distinct[name], ", ".join(samples[name]), meaning))
     table = shape.data.sparkSession.createDataFrame(
@@ -91,12 +92,20 @@ def numeric_summary(shape: TableShape) -> DataFrame:
 
 
 def top_values(shape: TableShape, columns: list[str], most: int) -> DataFrame:
-    """Most frequent values per column, null as "Missing". The rank filter runs inside
-    each task before the shuffle, so a column may have any number of values."""
-    counts = long_values(shape.data, columns).withColumn("value", F.coalesce("value", F.lit(MISSING))).groupBy(
+    """Most frequent values per column, null as "Missing", by count and then value.
+
+    Sketches name the candidates, which are counted; only columns whose last places stay
+    open are counted whole. There the rank filter runs inside each task before the shuffle.
+    """
+    settled, rest = frequent_values(shape.data, columns, most, shape.rows)
+    rows = [(n, value, count, place) for n, found in settled.items() for place, (value, count) in enumerate(found, 1)]
+    table = shape.data.sparkSession.createDataFrame(rows, "variable string, value string, records bigint, place int")
+    if not rest:
+        return table
+    counts = long_values(shape.data, rest).withColumn("value", F.coalesce("value", F.lit(MISSING))).groupBy(
         "variable", "value").agg(F.sum("records").alias("records"))
     place = F.row_number().over(Window.partitionBy("variable").orderBy(C("records").desc(), C("value")))
-    return counts.withColumn("place", place).filter(C("place") <= most)
+    return table.unionByName(counts.withColumn("place", place).filter(C("place") <= most))
 
 
 def categorical_summary(shape: TableShape, most: int = 10) -> DataFrame:
@@ -225,7 +234,7 @@ def target_distribution(shape: TableShape, target: str) -> DataFrame:
 
 def risk_segments(shape: TableShape, target: str, most: int = 3) -> DataFrame:
     """Category values of at least three rows with the highest share of risk labels."""
-    columns = [c for c in shape.categorical if c != target and shape.distinct[c] <= 20]
+    columns = [c for c, n in shape.distinct.decided([c for c in shape.categorical if c != target], 20).items() if n <= 20]
     rows = shape.data.select(
         status.is_risk_label(C(target)).cast("int").alias("is_risk"),
         *[F.coalesce(C(c).cast("string"), F.lit(MISSING)).alias(c) for c in columns])
@@ -355,6 +364,7 @@ def missing_ranking(shape: TableShape, most: int = 5) -> DataFrame:
 def column_answers(shape: TableShape) -> DataFrame:
     """What can be said about each column: a numeric summary or its commonest values."""
     spark = shape.data.sparkSession
+    shape.distinct.settle(shape.data.columns)
     facts = spark.createDataFrame(
         [(n, shape.kinds[n], shape.rows - shape.missing[n], shape.missing[n], shape.distinct[n]) for n in shape.data.columns],
         "variable string, kind string, filled bigint, missing bigint, distinct_values bigint")
@@ -382,7 +392,7 @@ def histogram(shape: TableShape, columns: list[str] | None = None, bins: int | N
 
 
 def median_by_category(shape: TableShape, categories: list[str], metric: str, most: int = 12) -> DataFrame:
-    used = [c for c in categories if shape.distinct[c] <= most]
+    used = [c for c, n in shape.distinct.decided(categories, most).items() if n <= most]
     rows = shape.data.filter(C(metric).isNotNull()).select(
         C(metric).alias("metric_value"), *[F.coalesce(C(c).cast("string"), F.lit(MISSING)).alias(c) for c in used])
     long = rows.unpivot(["metric_value"], used, "variable", "group_value")
@@ -411,7 +421,7 @@ def balance_totals(shape: TableShape, assets: str, liabilities: str) -> DataFram
 
 def numeric_means(shape: TableShape, most: int = 8) -> DataFrame:
     """Means of the first varying numeric columns."""
-    names = [n for n in shape.numeric if shape.distinct[n] > 1][:most]
+    names = [n for n, count in shape.distinct.decided(shape.numeric, 1).items() if count > 1][:most]
     return to_long(shape.data, [], names).groupBy("variable").agg(F.round(F.avg("value"), 4).alias("mean"))
 
 

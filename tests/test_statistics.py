@@ -110,3 +110,52 @@ def test_weighted_quantiles_equal_those_of_the_rows(spark):
     folded = frame.groupBy(F.col("ties").alias("v")).agg(F.count(F.lit(1)).alias("w"))
     marks = {"a": 0.1, "b": 0.5, "c": 0.77}
     assert exact_quantiles(folded, [], "v", marks, weight="w").first() == exact_quantiles(frame, [], "ties", marks).first()
+
+
+def mixed(spark, n=20_000):
+    return spark.range(n).select(
+        F.col("id").cast("string").alias("key"), (F.col("id") % 21).alias("just_over"), (F.col("id") % 20).cast("string").alias("just_at"),
+        F.lit(None).cast("string").alias("empty"), F.lit("x").alias("one"), F.floor(F.pow(F.rand(1), F.lit(5)) * n).cast("string").alias("skewed"),
+        F.when(F.col("id") % 3 == 0, F.col("id") % 5).cast("string").alias("gaps"), (F.col("id") / 2).cast("bigint").cast("string").alias("half"))
+
+
+def test_distinct_counts_decide_by_sketch_and_show_exact_numbers(spark, monkeypatch):
+    from ratiowatch.operators import sketches
+
+    frame, counted = mixed(spark), []
+    plain = sketches.distinct_counts
+    monkeypatch.setattr(sketches, "distinct_counts", lambda data, names: counted.append(sorted(names)) or plain(data, names))
+    counts = sketches.DistinctCounts(frame)
+    found = counts.decided(["key", "just_over", "just_at", "one"], 20, 0.5 * 20_000)
+    assert counted == [["just_at", "just_over"]] and (found["just_at"], found["just_over"]) == (20, 21) and found["key"] > 15_000
+    assert {n: counts[n] for n in counts} == plain(frame, frame.columns) | {"empty": 0}
+    order = counts.ordered(frame.columns)
+    assert sorted(order, key=lambda n: (order[n], n)) == sorted(counts, key=lambda n: (counts[n], n))
+    with pytest.raises(KeyError):
+        counts["other"]
+    assert sketches.DistinctCounts(frame, approximate=True)["one"] == 1
+
+
+@pytest.mark.parametrize("tracked", [64, 400, 10_000])
+def test_frequent_values_are_exact_or_left_open(spark, tracked):
+    from ratiowatch.operators import sketches
+
+    frame = mixed(spark).cache()
+    names = [n for n in frame.columns]
+    found, rest = sketches.frequent_values(frame, names, 10, 20_000, tracked)
+    assert set(found) | set(rest) == set(names) and (tracked < 10_000 or "skewed" in found) and "key" in rest
+    for name, values in found.items():
+        plain = frame.groupBy(F.coalesce(F.col(name).cast("string"), F.lit("Missing")).alias("v")).count().orderBy(F.desc("count"), "v").limit(10).collect()
+        assert values == [(r["v"], r["count"]) for r in plain], name
+    frame.unpersist()
+
+
+def test_top_values_of_settled_and_open_columns(spark):
+    from ratiowatch.operators import profile, typing_rules
+
+    words = mixed(spark).select(*[F.concat(F.lit("v"), F.col(n).cast("string")).alias(n) for n in ("key", "gaps", "empty")])
+    shape = typing_rules.inspect(words.cache())
+    rows = profile.top_values(shape, ["gaps", "key"], 3).orderBy("variable", "place").collect()
+    assert [(r.variable, r.value, r.records) for r in rows] == [
+        ("gaps", "Missing", 13333), ("gaps", "v0", 1334), ("gaps", "v1", 1334), ("key", "v0", 1), ("key", "v1", 1), ("key", "v10", 1)]
+    assert shape.identifiers == ["key"] and shape.kinds["empty"] == "Categorical"
