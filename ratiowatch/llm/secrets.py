@@ -30,6 +30,7 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE = 12
+_NAMES = ("passw", "secret", "token", "api")
 
 _ESCAPED_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPED_UNITS = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
@@ -47,7 +48,7 @@ _PROMISING = re.compile(rb"[\t\n\r\x20-~](?:\x00{0,3}[\t\n\r\x20-~]){15}")
 _WIDE = re.compile(r"[\t\n\r\x20-~](?:\x00{1,3}[\t\n\r\x20-~]){15,}")
 _NO_BYTE = re.compile(r"[\udc80-\udcff]")
 #: Bytes of one decompressed layer. More are scanned in overlapping windows of this length.
-WINDOW = 1 << 24
+WINDOW = 1 << 22
 OVERLAP = 1 << 16
 #: Bytes that meet a decompressor at a time.
 PIECE = 1 << 12
@@ -56,7 +57,7 @@ PIECE = 1 << 12
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the secrets in plain sight, by start and kind."""
     found = []
-    if ":" in text or "=" in text:
+    if (":" in text or "=" in text) and any(word in folded for folded in [text.lower()] for word in _NAMES):
         found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_VALUE]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
@@ -271,22 +272,31 @@ def all_spans(text: str) -> list[tuple[int, int, int]]:
     found = set(scan(text))
     if "%" not in text and "\\" not in text and "\0" not in text and "\n" not in text and not _BASE64.search(text):
         return sorted(found)
-    work, seen = [Layer.whole(text)], set()
+    # Decoders make a layer only when it is asked for, and each is dropped before the next: what is held is one layer a depth.
+    work, seen = [_decoded_layers(Layer.whole(text))], set()
     while work:
-        layer = work.pop()
-        for start, kind, end in scan(layer.text) if seen else ():
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        mark = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass") + b"%d:%d" % (layer.starts[0], layer.ends[-1])).digest()[:16]
+        if mark in seen:
+            continue
+        seen.add(mark)
+        for start, kind, end in scan(layer.text):
             first, last = layer.span(start, end)
             found.add((first, kind, last))
-        for decode in (_unescaped_bytes, _unescaped_units, _narrowed, _from_base64):
-            for new in decode(layer):
-                mark = (hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest(), int(new.starts[0]), int(new.ends[-1]))
-                if mark not in seen:
-                    seen.add(mark)
-                    work.append(new)
-        seen.add(None)  # layers after the first are decoded ones
+        work.append(_decoded_layers(layer))
+        del layer
     return sorted(found)
 
 
+def _decoded_layers(layer: Layer):
+    """The layers that lie in one, one at a time."""
+    for decode in (_unescaped_bytes, _unescaped_units, _narrowed, _from_base64):
+        yield from decode(layer)
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
@@ -301,7 +311,8 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     Spans are ``kind:start:end`` in code points, the end exclusive, by start, then kind, then
     end. ``n_nested`` counts spans found in decoded layers alone. Null and empty texts hold
     none. Each row is scanned alone, whole; repeated rows get equal rows and other columns
-    are ignored. Decompressed data is scanned in overlapping windows, so memory is bounded.
+    are ignored. Decompressed data is scanned in overlapping windows, each dropped before the
+    next is made, so memory is bounded by the depth of nesting whatever the data unpacks to.
     """
     def scanned(rows):
         for batch in rows:
