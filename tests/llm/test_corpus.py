@@ -367,3 +367,126 @@ def test_pipeline_judges_rows_with_null_and_repeated_ids(spark, tmp_path):
     frame = spark.createDataFrame([(1, a), (1, b), (None, c), (None, d), (None, None)], "doc_id long, text string")
     kept = corpus_pipeline.decontaminate(spark, frame, str(tmp_path))
     assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, b), (None, d), (None, None)}
+
+
+def plain_parse(text, samples):
+    """Phrases and unmatched symbols by plain substring search."""
+    matched = missed = 0
+    at = 0
+    while at < len(text):
+        size = 0
+        while at + size < len(text) and text[at:at + size + 1] in samples:
+            size += 1
+        matched, missed, at = matched + (size > 0), missed + (size == 0), at + max(size, 1)
+    return matched, missed
+
+
+def symbols_of(text):
+    return re.sub(r"[^\W\d_]|(?:[\W\d_])+", lambda m: m[0] if m[0].isalpha() else "·", text.lower()).lstrip("·")
+
+
+def test_cross_parsing_equals_plain_substring_search():
+    samples = {"a": "the cat sat on the mat. a cat, a hat", "b": "le chat est sur la table; der Hund", "c": "日本語の文章と漢字"}
+    model = language.Model({k: [v] for k, v in samples.items()})
+    texts = ["the hat on the table", "der chat", "漢字と日本", "zzz", "9 9", "the cat sat on the mat " * 9, "la " * 70]
+    counts, literals, lettered = model.phrases(texts)
+    for n, name in enumerate(sorted(samples)):
+        for t, text in enumerate(texts):
+            assert (counts[n, t] - literals[n, t], literals[n, t]) == plain_parse(symbols_of(text), symbols_of(samples[name] + "\n")), (name, text)
+    assert lettered.tolist() == [True, True, True, True, False, True, True]
+
+
+def test_blocks_cut_no_phrase_twice(monkeypatch):
+    model = language.Model({"a": ["abcdefghij" * 30]})
+    text = "abcdefghij" * 28
+    whole = [x.tolist() for x in model.phrases([text])[:2]]
+    monkeypatch.setattr(language, "BLOCK", 40)
+    assert whole == [[[1]], [[0]]] and model.phrases([text])[0].tolist() == [[1]] and model.phrases([text + "!ab"])[0][0][0] <= 3
+
+
+def test_every_letter_of_the_samples_is_a_symbol():
+    import random
+
+    draw = random.Random(2)
+    signs = {"latin": [chr(97 + n) for n in range(26)], "han": [chr(0x4E00 + n) for n in range(600)], "hangul": [chr(0xAC00 + n) for n in range(600)]}
+    samples = {name: ["".join(draw.choices(s, k=1200))] for name, s in signs.items()}
+    model = language.Model(samples)
+    for name, s in signs.items():
+        found, _ = model.predict(["".join(draw.choices(s, k=60)) for _ in range(50)])
+        assert collections.Counter(found)[name] == 50
+
+
+def test_short_samples_are_judged_alike_and_shared_by_rows():
+    import random
+
+    draw = random.Random(3)
+    syllables = {"x": ["ba", "to", "ri", "mel", "sa"], "y": ["ku", "to", "ven", "ri", "osh"]}
+
+    def text(name, n):
+        return " ".join("".join(draw.choices(syllables[name], k=3)) for _ in range(n))
+
+    model = language.Model({"x": [text("x", 600)] * 5, "y": [text("y", 30)]})
+    found, _ = model.predict([text("y", 25) for _ in range(40)] + [text("x", 25) for _ in range(40)])
+    assert found == ["y"] * 40 + ["x"] * 40
+    assert language.shared_quota([5, 100, 30], 60) == [5, 28, 27] and language.shared_quota([1, 2], 60) == [1, 2]
+    many = language.Model({f"l{n}": ["abc def"] for n in range(3000)}, all_symbols=1000)
+    assert len(many.languages) == 3000 and min(many.costs) > 2
+
+
+def test_variety_is_judged_alike_at_all_lengths():
+    words = [f"word{chr(97 + n % 26)}{chr(97 + n // 26)}" for n in range(50)]
+    import random
+
+    draw = random.Random(1)
+    text = " ".join(draw.choices(words, k=9000)).split(" ")
+    found = {n: quality._poor_vocabulary(quality.read(" ".join(text[:n]))) for n in (1400, 1999, 2000, 2001, 2500, 9000)}
+    assert found == {1400: False, 1999: True, 2000: True, 2001: True, 2500: True, 9000: True}
+    assert not quality._few_letters(quality.read("a b c " * 60))
+
+
+def plain_base(text):
+    """Base spans of the contract, by its patterns alone."""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(
+        r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        text or "") if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text or "") if len(m[0]) >= 16]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_base_spans_and_counts_of_the_whole_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in table.collect()}
+    for r in secrets.find_secrets(table).collect():
+        base = plain_base(texts[r.doc_id])
+        assert r.base_spans == base and set(filter(None, base.split(","))) <= set(r.spans.split(","))
+    for r in quality.judge(table).collect():
+        text = texts[r.doc_id] or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(words[n:n + 3]) for n in range(len(words) - 2)]
+        seen = collections.Counter(windows)
+        repeated = {p for n, w in enumerate(windows) if seen[w] > 1 for p in range(n, n + 3)}
+        lines_ = text.split("\n")
+        copies = sum(bool(re.search(r"[^\x20\x09-\x0D]", line)) and line in lines_[:n] for n, line in enumerate(lines_))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), copies, len(repeated))
+        assert r.base_failed == (len(words) < 50 or 100 * len(repeated) > 50 * len(words))
+
+
+def test_a_small_text_that_unpacks_to_much_is_scanned_in_little_memory():
+    import bz2
+    import os
+    import subprocess
+    import sys
+
+    tool, parts = bz2.BZ2Compressor(), []
+    for n in range(6):
+        parts.append(tool.compress(bytes([48 + n]) * (1 << 24)))
+    parts += [tool.compress(b"password = abcdefghijklmn"), tool.flush()]
+    text = "v " + base64.b64encode(bz2.compress(b"".join(parts))).decode()
+    assert len(text) < 1000
+    code = ("import resource, sys; from ratiowatch.llm import secrets; found = secrets.written(secrets.all_spans(sys.argv[1])); "
+            "print(found, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code, text], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": root}).stdout.split()
+    assert out[0] == f"assign:2:{len(text)}" and int(out[1]) < 250
