@@ -6,7 +6,7 @@ are gone, texts it edits are edited. All but the last return the columns of ``do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ratiowatch.llm import contamination, language, lines, near, packing
 from ratiowatch.llm.encoding import vocabulary
@@ -29,9 +29,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}).select(*docs.columns)
 
 
+def _node(seed: int) -> Column:
+    """A hash of id and text that is never null: ids may be null or repeat."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
 def _marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_pipeline_node``, a hash of id and text that is never null: ids may be null or repeat."""
-    return docs.withColumn("_pipeline_node", F.xxhash64("doc_id", "text"))
+    """``docs`` with ``_pipeline_node``, the same for equal rows and different for others.
+
+    It is a hash of 64 bits, and a second one tells documents apart that share the first:
+    those, some hundreds in 10^11, are numbered by a third.
+    """
+    hashed = docs.withColumns({"_pipeline_node": _node(1), "_pipeline_check": _node(2)})
+    shared = hashed.groupBy("_pipeline_node").agg(F.min("_pipeline_check").alias("least"), F.max("_pipeline_check").alias("most"))
+    shared = cut_lineage(shared.where("least <> most").select(F.col("_pipeline_node").alias("_pipeline_shared")))
+    marked = hashed.join(shared, F.col("_pipeline_node") == F.col("_pipeline_shared"), "left")
+    node = F.when(F.col("_pipeline_shared").isNull(), F.col("_pipeline_node")).otherwise(_node(3))
+    return marked.withColumn("_pipeline_node", node).drop("_pipeline_check", "_pipeline_shared")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
