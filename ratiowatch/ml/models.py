@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ratiowatch.functions import bands
 from ratiowatch.ml.folds import with_folds
+from ratiowatch.ml.holdout import FULL_DEPTH, holdout  # noqa: F401
+from ratiowatch.ml.segments import segments  # noqa: F401
 from ratiowatch.operators import calibration
-from ratiowatch.operators.typing_rules import TableShape, model_features
 from ratiowatch.schema import MODEL_FEATURES
 from ratiowatch.session import cut_lineage
 
@@ -135,101 +133,3 @@ def linear_contributions(model: PipelineModel, names: list[str], rows: DataFrame
 def global_contributions(contributed: DataFrame) -> DataFrame:
     return contributed.select(F.explode("parts").alias("x")).groupBy(C("x.feature").alias("feature")).agg(
         F.avg(F.abs("x.contribution")).alias("mean_absolute"))
-
-
-def holdout(shape: TableShape, target: str, key: str, trees: int = 120) -> DataFrame:
-    """75/25 hold-out of a random forest on any table; metrics and top importances as rows.
-
-    The split is a hash of the key, so it does not depend on partitioning. Dates enter as
-    days, categories as indicators with a slot for unseen values.
-    """
-    spark = shape.data.sparkSession
-    schema = "kind string, name string, value double"
-    labelled = shape.rows - shape.missing[target]
-    classes = shape.distinct[target]
-    classify = shape.kinds[target] != "Numeric" or classes <= 10
-    names = model_features(shape, target)
-    if labelled < 30 or classes < 2 or (classify and classes > 20) or not names:
-        return spark.createDataFrame([("status", "not trained", None)], schema)
-    dates = [n for n in names if shape.kinds[n] == "Date"]
-    numeric = [n for n in names if shape.kinds[n] == "Numeric"] + dates
-    words = [n for n in names if shape.kinds[n] == "Categorical"]
-    data = shape.data.filter(C(target).isNotNull()).select(
-        target, *[(F.datediff(C(n), F.lit("1970-01-01")).cast("double") if n in dates else C(n)).alias(n) for n in numeric],
-        *words, (F.pmod(F.xxhash64(C(key), F.lit(42)), F.lit(4)) == 0).alias("is_test"))
-    data = cut_lineage(data)
-    stages = []
-    if numeric:
-        stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=[f"n_{n}" for n in numeric]))
-    if words:
-        stages.append(StringIndexer(inputCols=words, outputCols=[f"i_{n}" for n in words], handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[f"i_{n}" for n in words], outputCols=[f"h_{n}" for n in words]))
-    stages.append(VectorAssembler(inputCols=[f"n_{n}" for n in numeric] + [f"h_{n}" for n in words], outputCol="features"))
-    if classify:
-        stages.append(StringIndexer(inputCol=target, outputCol="label", handleInvalid="keep"))
-        forest = RandomForestClassifier(numTrees=trees, minInstancesPerNode=2, maxDepth=8, seed=42, labelCol="label")
-    else:
-        data = data.withColumn("label", C(target).cast("double"))
-        forest = RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", minInstancesPerNode=2, maxDepth=8, seed=42, labelCol="label")
-    fitted = Pipeline(stages=[*stages, forest]).fit(data.filter(~C("is_test")))
-    predicted = fitted.transform(data.filter("is_test"))
-    rows = [("metric", n, v) for n, v in (_class_metrics(predicted) if classify else _number_metrics(predicted)).items()]
-    importances = fitted.stages[-1].featureImportances.toArray()
-    slots = predicted.schema["features"].metadata["ml_attr"]["attrs"]
-    labels = {a["idx"]: a["name"] for group in slots.values() for a in group}
-    top = sorted(((labels[i], float(v)) for i, v in enumerate(importances)), key=lambda x: -x[1])[:10]
-    return spark.createDataFrame(rows + [("importance", n, v) for n, v in top], schema)
-
-
-def _class_metrics(predicted: DataFrame) -> dict[str, float]:
-    """From the confusion counts: at most twenty classes squared."""
-    cells = {(r["label"], r["prediction"]): r["n"] for r in predicted.groupBy("label", "prediction").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(cells.values())
-    actual, guessed = {}, {}
-    for (a, g), n in cells.items():
-        actual[a] = actual.get(a, 0) + n
-        guessed[g] = guessed.get(g, 0) + n
-    hit = {c: cells.get((c, c), 0) for c in actual}
-    recall = {c: hit[c] / actual[c] for c in actual}
-    precision = {c: hit[c] / guessed[c] if guessed.get(c) else 0.0 for c in actual}
-    f1 = {c: 2 * recall[c] * precision[c] / (recall[c] + precision[c]) if hit[c] else 0.0 for c in actual}
-
-    def mean(values):
-        return sum(values[c] * actual[c] for c in actual) / total
-
-    found = {"accuracy": sum(hit.values()) / total, "balanced_accuracy": sum(recall.values()) / len(recall),
-             "precision": mean(precision), "recall": mean(recall), "f1": mean(f1), "test_rows": float(total)}
-    if set(actual) == {0.0, 1.0}:
-        found["roc_auc"] = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability", numBins=0).evaluate(predicted)
-    return found
-
-
-def _number_metrics(predicted: DataFrame) -> dict[str, float]:
-    error = C("label") - C("prediction")
-    r = predicted.agg(F.avg(F.abs(error)).alias("mae"), F.sum(error * error).alias("sse"), F.var_pop("label").alias("var"),
-                      F.count(F.lit(1)).alias("n")).first()
-    return {"mae": r["mae"], "r2": 1 - r["sse"] / (r["var"] * r["n"]) if r["var"] else 0.0, "test_rows": float(r["n"])}
-
-
-def segments(shape: TableShape, key: str, target: str | None = None, starts: int = 10) -> DataFrame:
-    """Clusters of all rows on the varying numeric columns, with their commonest target: the best of several starts."""
-    names = [n for n in shape.numeric if shape.distinct[n] > 1]
-    if len(names) < 2 or shape.rows < 10:
-        raise ValueError("Segments need two varying numeric columns and ten rows.")
-    k = min(4, max(2, int((shape.rows / 2) ** 0.5)))
-    filled = [f"in_{n}" for n in names]
-    steps = Pipeline(stages=[
-        Imputer(strategy="median", inputCols=names, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)])
-    ready = steps.fit(shape.data).transform(shape.data)
-    points = ready.select("scaled").persist()
-    tried = [KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=42 + n, initSteps=5).fit(points) for n in range(starts)]
-    points.unpersist()
-    placed = min(tried, key=lambda m: m.summary.trainingCost).transform(ready)
-    label = F.coalesce(C(target).cast("string"), F.lit("Missing")) if target else F.lit("Not available")
-    counts = placed.groupBy("cluster", label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("cluster").agg(
-        F.sum("n").alias("records"), F.min_by("label", F.struct(-C("n"), C("label"))).alias("common_target")).select(
-        F.concat(F.lit("Segment "), (C("cluster") + 1).cast("string")).alias("segment"), "records",
-        F.round(C("records") * 100.0 / shape.rows, 6).alias("share_percent"), "common_target")

@@ -75,3 +75,47 @@ def test_slope_recovers_a_known_calibration(spark):
     y = rng.random(6000) < p
     pairs = calibration.valid_pairs(spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "probability double, label int"))
     assert calibration.calibration_slope(pairs).first().slope == pytest.approx(1.0, abs=0.1)
+
+
+def test_split_is_exact_in_every_class(spark):
+    from ratiowatch.ml.holdout import stratified_split
+
+    frame = spark.range(1003).select(F.col("id"), F.when(F.col("id") % 10 == 0, "rare").otherwise("common").alias("kind")).repartition(7)
+    found = {(r["kind"], r["is_test"]): r["count"] for r in stratified_split(frame, "id", F.col("kind"), ["rare", "common"]).groupBy("kind", "is_test").count().collect()}
+    assert found == {("rare", True): 25, ("rare", False): 76, ("common", True): 226, ("common", False): 676}  # of 101 and 902
+    again = stratified_split(frame.repartition(2), "id", F.col("kind"), ["common", "rare"])
+    assert again.filter("is_test").select("id").exceptAll(stratified_split(frame, "id", F.col("kind"), ["rare", "common"]).filter("is_test").select("id")).count() == 0
+
+
+def test_holdout_of_classes(spark):
+    rows = [(f"k{i}", float(i % 7), None if i % 50 == 0 else ("red" if i % 3 else "blue"), f"odd{i}" if i % 40 == 0 else "plain", i % 3 == 0) for i in range(400)]
+    frame = spark.createDataFrame([(k, n, c, o, "yes" if t else "no") for k, n, c, o, t in rows], "code string, n double, colour string, odd string, label string")
+    shape = typing_rules.inspect(frame)
+    found = models.holdout(shape, "label", "code", trees=15).collect()
+    kinds = {k: {r.name: r.value for r in found if r.kind == k} for k in {r.kind for r in found}}
+    assert kinds["split"] == {"no test": 66.0, "no train": 200.0, "yes test": 34.0, "yes train": 100.0}  # of 266 and 134; halves go to even
+    assert sum(kinds["confusion"].values()) == kinds["metric"]["test_rows"] == 100.0
+    assert kinds["metric"]["accuracy"] > 0.9 and kinds["metric"]["roc_auc"] > 0.9
+    assert kinds["confusion"]["no as no"] + kinds["confusion"]["no as yes"] == 66.0
+    rising = [r.value for r in found if r.kind == "roc true positives"]
+    assert rising == sorted(rising) and rising[-1] == 1.0
+    assert max(kinds["importance"], key=kinds["importance"].get).startswith("colour=") and not any("odd4" in n for n in kinds["importance"])
+
+
+def test_starts_advance_together_and_find_the_clusters(spark):
+    from ratiowatch.ml import segments
+
+    rng = np.random.default_rng(5)
+    centres = np.array([[0, 0], [9, 0], [0, 9], [9, 9]])
+    data = np.concatenate([c + rng.normal(0, 0.5, (n, 2)) for c, n in zip(centres, (400, 300, 200, 100))])
+    frame = spark.createDataFrame([(i, float(a), float(b), None if i % 9 == 0 else float(a)) for i, (a, b) in enumerate(data)], "id long, a double, b double, c double").repartition(3)
+    points = frame.select("a", "b")
+    found = segments.fit_centres(points, 4, starts=6)
+    assert np.abs(found - centres).max() < 0.2
+    sums = segments._sums(points, np.stack([centres, centres[::-1]]).astype(float))
+    assert sums["n"].tolist() == [400, 300, 200, 100, 100, 200, 300, 400] and abs(sums["cost"][:4].sum() - sums["cost"][4:].sum()) < 1e-6
+    shape = typing_rules.inspect(frame.select("a", "b", "id"))
+    rows = segments.segments(shape, "id").collect()
+    assert sum(r.records for r in rows) == 1000 and len(rows) == 4
+    scaled = frame.select(*[v.alias(n) for n, v in segments.scaled_columns(frame, ["a", "c"], 1000).items()]).toPandas()
+    assert np.abs(scaled.mean()).max() < 1e-9 and np.abs(scaled.std(ddof=0) - 1).max() < 1e-9

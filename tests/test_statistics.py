@@ -157,5 +157,5 @@ def test_top_values_of_settled_and_open_columns(spark):
     shape = typing_rules.inspect(words.cache())
     rows = profile.top_values(shape, ["gaps", "key"], 3).orderBy("variable", "place").collect()
     assert [(r.variable, r.value, r.records) for r in rows] == [
-        ("gaps", "Missing", 13333), ("gaps", "v0", 1334), ("gaps", "v1", 1334), ("key", "v0", 1), ("key", "v1", 1), ("key", "v10", 1)]
+        ("gaps", "Missing", 13333), ("gaps", "v0", 1334), ("gaps", "v3", 1334), ("key", "v0", 1), ("key", "v1", 1), ("key", "v10", 1)]
     assert shape.identifiers == ["key"] and shape.kinds["empty"] == "Categorical"
