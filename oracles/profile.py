@@ -161,7 +161,13 @@ SQL = {
       UNION ALL SELECT 'Liabilities', round(sum(Total_Liabilities),2) FROM statements"""),
     "numeric_means": sql("loans", "SELECT variable, round(avg(v),4) AS mean FROM lng GROUP BY 1",
                          longed("loans", ["loan_id", "customer_id", "loan_amount", "credit_score"])),
-    "profile_warnings": sql("statements", f"""SELECT severity, topic, variable, round(evidence,6) AS evidence FROM (
+    "profile_warnings": sql("statements", f"""SELECT severity, topic, variable, round(evidence,6) AS evidence,
+      CASE topic WHEN 'Decline' THEN printf('%.1f%%', evidence) ELSE printf('%.1f%%', evidence*100) END AS shown,
+      CASE topic WHEN 'Decline' THEN 'The measure fell between its first and its latest date.' WHEN 'Missing cells' THEN 'Gaps of this size can tilt every summary.'
+        ELSE 'Losses or cash outflows can point to financial strain.' END AS reason,
+      CASE topic WHEN 'Decline' THEN 'Compare periods and units, then look for the cause.' WHEN 'Missing cells'
+        THEN 'Check the source for completeness and write down how gaps are treated.'
+        ELSE 'Confirm signs and read the periods concerned in the statements.' END AS action FROM (
       SELECT CASE WHEN x>=0.4 THEN 'High' ELSE 'Medium' END AS severity, 'Missing cells' AS topic, 'all columns' AS variable, x AS evidence
         FROM (SELECT sum({CELLS})/(count(*)*16) AS x FROM statements) WHERE x>=0.2
       UNION ALL SELECT CASE WHEN change_percent<=-20 THEN 'High' ELSE 'Medium' END, 'Decline', variable, change_percent FROM trend
@@ -187,4 +193,17 @@ SQL = {
       UNION ALL SELECT * FROM (SELECT printf('Strongest association: %s with %s (%.2f).', variable_a, variable_b, abs(c)) FROM prs WHERE c IS NOT NULL
         ORDER BY abs(c) DESC, i, j LIMIT 1)
       UNION ALL SELECT 'Trend of '||variable||': '||lower(direction) FROM trend""", pairs(NUM) + "," + LNGD + "," + TREND),
+    "profile_recommendations": sql("loans", """SELECT 0 AS place, 'Complete or validate: risk_status' AS recommendation FROM loans
+        HAVING count(*)-count(risk_status) >= 0.2*count(*)
+      UNION ALL SELECT 2, 'Confirm the meaning of: customer_id, loan_amount, credit_score, origination_date, risk_status'
+      UNION ALL SELECT 5, 'Look into the decline of: '||array_to_string(list(variable ORDER BY variable)[1:5], ', ') FROM (
+        SELECT variable, median(value) FILTER (d=lo) AS first, median(value) FILTER (d=hi) AS latest FROM (
+          SELECT origination_date AS d, min(origination_date) OVER () AS lo, max(origination_date) OVER () AS hi,
+            unnest(['loan_id','customer_id','loan_amount','credit_score']) AS variable,
+            unnest([loan_id::DOUBLE, customer_id::DOUBLE, loan_amount::DOUBLE, credit_score::DOUBLE]) AS value FROM loans) GROUP BY variable)
+        WHERE latest<first HAVING count(*)>0
+      UNION ALL SELECT 6, text FROM (SELECT printf('Review %s = %s: %.1f%% of its records carry a risk label.', variable, value, 100*avg(bad)) AS text
+        FROM (SELECT (coalesce(loan_status,'')='Default')::INT AS bad, unnest(['segment','region','risk_status']) AS variable,
+          unnest([segment, region, coalesce(risk_status,'Missing')]) AS value FROM loans) GROUP BY variable, value HAVING count(*)>=3
+        ORDER BY avg(bad) DESC, variable, value LIMIT 1)"""),
 }

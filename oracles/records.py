@@ -111,7 +111,15 @@ SQL = {
       {nz('EBITDA','Total_Assets-Current_Liabilities')} AS roce,
       {nz('Revenue-Cost_of_Goods_Sold','Revenue')} AS gross_margin FROM risk"""),
     "warning_details": sql("flags", """SELECT *, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1
-      WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END AS severity_rank FROM detail""", DETAIL),
+      WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END AS severity_rank, w.reason, w.action FROM detail JOIN (VALUES
+      ('Rapid revenue decline', 'A steep fall of sales cuts into the cash a business makes.', 'Compare the periods and find what changed in operations.'),
+      ('Negative operating cash flow', 'Operations used up cash.', 'Look at collections, stock and payment terms.'),
+      ('Increasing leverage', 'Much debt leaves little room for a shock.', 'Confirm what counts as debt and when it falls due.'),
+      ('Falling liquidity', 'Short-term debts are not covered by short-term assets.', 'Go through near-term payments and receipts.'),
+      ('Deteriorating margins', 'Costs rise faster than prices, or prices fall.', 'Check costs and what drives the margin.'),
+      ('Increasing receivable days', 'Customers pay late, so cash is tied up.', 'Go through overdue invoices.'),
+      ('Falling interest coverage', 'Earnings barely pay the interest.', 'Confirm interest and the debt service schedule.')) w(indicator, reason, action)
+      USING (indicator)""", DETAIL),
     "warnings_triggered": sql("flags", """SELECT record_id, indicator, severity FROM detail
       WHERE status='Triggered'""", DETAIL),
     "severity_counts": sql("flags", "SELECT severity, count(*) AS warnings FROM detail GROUP BY 1", DETAIL),

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratiowatch.functions import periods, ratios, status
-from ratiowatch.operators import ordered
+from ratiowatch.operators import advice, ordered
 from ratiowatch.operators.brackets import order_statistics
 from ratiowatch.operators.quantiles import exact_median, to_long
 from ratiowatch.operators.sketches import MISSING, frequent_values, long_values
@@ -425,36 +425,12 @@ def numeric_means(shape: TableShape, most: int = 8) -> DataFrame:
     return to_long(shape.data, [], names).groupBy("variable").agg(F.round(F.avg("value"), 4).alias("mean"))
 
 
-def profile_warnings(shape: TableShape, trends: DataFrame) -> DataFrame:
-    """Warning rows from column aggregates: missing cells, declines, losses, thin liquidity, leverage."""
-    cells = shape.rows * len(shape.data.columns)
-    missing = sum(shape.missing.values()) / max(cells, 1)
-    spark = shape.data.sparkSession
-    rows = []
-    if missing >= 0.2:
-        rows.append(("High" if missing >= 0.4 else "Medium", "Missing cells", "all columns", missing))
-    fixed = spark.createDataFrame(rows, "severity string, topic string, variable string, evidence double")
-    declines = trends.filter((C("direction") == "Declining") & C("change_percent").isNotNull()).select(
-        F.when(C("change_percent") <= -20, "High").otherwise("Medium").alias("severity"),
-        F.lit("Decline").alias("topic"), "variable", C("change_percent").alias("evidence"))
-    checks = []
-    for name in shape.numeric:
-        key = header_alnum_key(name)
-        if any(t in key for t in ("profit", "earnings", "pat", "cash flow", "cashflow")):
-            checks.append(("Negative values", name, C(name) < 0))
-        if "current ratio" in key:
-            checks.append(("Below one", name, C(name) < 1))
-        if "debt to asset" in key or "debt asset ratio" in key:
-            checks.append(("High leverage", name, C(name) >= 0.65))
-    found = fixed.unionByName(declines)
-    if checks:
-        wide = shape.data.agg(*[F.avg(test.cast("int")).alias(f"c{i}") for i, (_, _, test) in enumerate(checks)])
-        shares = wide.select(F.explode(F.array(*[F.struct(
-            F.when(C(f"c{i}") >= 0.25, "High").otherwise("Medium").alias("severity"), F.lit(topic).alias("topic"),
-            F.lit(name).alias("variable"), C(f"c{i}").alias("evidence"))
-            for i, (topic, name, _) in enumerate(checks)])).alias("r")).select("r.*").filter(C("evidence") > 0)
-        found = found.unionByName(shares)
-    return found.withColumn("evidence", F.round("evidence", 6))
+def profile_warnings(shape: TableShape, trends: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+    """Warning rows with severity, evidence, reason and action: gaps, declines, losses, thin liquidity, leverage, anomalies."""
+    facts = advice.shape_facts(shape).unionByName(advice.value_facts(shape)).unionByName(advice.trend_facts(trends))
+    if scored is not None:
+        facts = facts.unionByName(advice.anomaly_facts(scored))
+    return advice.warning_rows(facts)
 
 
 def profile_findings(shape: TableShape, quality: DataFrame, pairs: DataFrame, trends: DataFrame) -> DataFrame:
@@ -474,29 +450,34 @@ def profile_findings(shape: TableShape, quality: DataFrame, pairs: DataFrame, tr
     return found
 
 
-def recommendations(shape: TableShape) -> DataFrame:
-    sparse = [n for n in shape.data.columns if shape.missing[n] / max(shape.rows, 1) >= 0.2]
-    meant = [n for n in shape.data.columns if shape.roles[n]]
-    rows = []
-    if sparse:
-        rows.append("Complete or validate: " + ", ".join(sparse[:5]))
-    elif any(shape.missing.values()):
-        rows.append("Review missing values before use.")
-    rows.append("Confirm the meaning of: " + ", ".join(meant[:5]) if meant else "Confirm the meaning of every column.")
-    if not shape.targets:
-        rows.append("No target column was found; use anomaly and pattern results.")
-    return shape.data.sparkSession.createDataFrame([(r,) for r in rows], "recommendation string")
-
-
-def profile(shape: TableShape, key: str) -> dict[str, DataFrame]:
-    """The whole profile as named tables."""
+def recommendations(shape: TableShape, trends: DataFrame | None = None, pairs: DataFrame | None = None, scored: DataFrame | None = None,
+                    evaluated: bool = False) -> DataFrame:
+    """(place, recommendation) by the rules of ``advice`` over what is known of the table."""
+    facts = advice.shape_facts(shape)
+    if trends is not None:
+        facts = facts.unionByName(advice.trend_facts(trends))
+    if pairs is not None:
+        facts = facts.unionByName(advice.pair_facts(pairs))
+    if scored is not None:
+        facts = facts.unionByName(advice.anomaly_facts(scored))
+    for target in shape.targets[:1]:
+        facts = facts.unionByName(advice.target_facts(target, target_distribution(shape, target)))
+        if any(c != target for c in shape.categorical):
+            facts = facts.unionByName(advice.segment_facts(risk_segments(shape, target)))
+        facts = facts.unionByName(advice.fact_rows(shape, [("model", 0, target, "evaluated" if evaluated else "not trained", None, None)]))
+    return advice.recommendation_rows(facts)
+
+
+def profile(shape: TableShape, key: str, scored: DataFrame | None = None, evaluated: bool = False) -> dict[str, DataFrame]:
+    """The whole profile as named tables. ``scored`` has the rows' anomaly flags, and ``evaluated`` says that a model was held out,
+    if they were made."""
     quality, pairs = dataset_quality(shape), correlations(shape)
     tables = {"quality": quality, "columns": column_profile(shape, key), "statistics": numeric_summary(shape),
-              "categorical": categorical_summary(shape), "correlations": pairs,
-              "recommendations": recommendations(shape)}
-    if shape.dates and shape.numeric:
-        trends = numeric_trends(shape)
-        tables.update(trends=trends, warnings=profile_warnings(shape, trends),
+              "categorical": categorical_summary(shape), "correlations": pairs}
+    trends = numeric_trends(shape) if shape.dates and shape.numeric else None
+    tables["recommendations"] = recommendations(shape, trends, pairs, scored, evaluated)
+    if trends is not None:
+        tables.update(trends=trends, warnings=profile_warnings(shape, trends, scored),
                       findings=profile_findings(shape, quality, pairs, trends))
     if shape.targets:
         target = shape.targets[0]

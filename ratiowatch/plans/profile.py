@@ -174,4 +174,10 @@ def q_profile_findings(spark, sf_dir):
     return profile.profile(statement_shape(spark, sf_dir), "record_id")["findings"]
 
 
+def q_profile_recommendations(spark, sf_dir):
+    """All rules on the loan book, with the flags of anomalous rows left to the modelling queries."""
+    shape = loan_shape(spark, sf_dir)
+    return profile.recommendations(shape, profile.numeric_trends(shape), profile.correlations(shape))
+
+
 QUERIES = {name[2:]: function for name, function in list(globals().items()) if name.startswith("q_")}
