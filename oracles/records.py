@@ -110,7 +110,7 @@ SQL = {
       Debt_to_Assets, EBITDA_Margin, Interest_Coverage, {EQUITY} AS equity,
       {nz('EBITDA','Total_Assets-Current_Liabilities')} AS roce,
       {nz('Revenue-Cost_of_Goods_Sold','Revenue')} AS gross_margin FROM risk"""),
-    "warning_details": sql("flags", """SELECT *, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1
+    "warning_details": sql("flags", """SELECT detail.*, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1
       WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END AS severity_rank, w.reason, w.action FROM detail JOIN (VALUES
       ('Rapid revenue decline', 'A steep fall of sales cuts into the cash a business makes.', 'Compare the periods and find what changed in operations.'),
       ('Negative operating cash flow', 'Operations used up cash.', 'Look at collections, stock and payment terms.'),
