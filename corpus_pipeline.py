@@ -43,6 +43,8 @@ def _marked(docs: DataFrame) -> DataFrame:
     hashed = docs.withColumns({"_pipeline_node": _node(1), "_pipeline_check": _node(2)})
     shared = hashed.groupBy("_pipeline_node").agg(F.min("_pipeline_check").alias("least"), F.max("_pipeline_check").alias("most"))
     shared = cut_lineage(shared.where("least <> most").select(F.col("_pipeline_node").alias("_pipeline_shared")))
+    if shared.isEmpty():
+        return hashed.drop("_pipeline_check")
     marked = hashed.join(shared, F.col("_pipeline_node") == F.col("_pipeline_shared"), "left")
     node = F.when(F.col("_pipeline_shared").isNull(), F.col("_pipeline_node")).otherwise(_node(3))
     return marked.withColumn("_pipeline_node", node).drop("_pipeline_check", "_pipeline_shared")
