@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ratiowatch.functions import bands
+from ratiowatch.functions import bands, status
 from ratiowatch.ml.folds import with_folds
 from ratiowatch.ml.holdout import FULL_DEPTH, holdout  # noqa: F401
+from ratiowatch.ml.importance import permutation_importance
 from ratiowatch.ml.segments import segments  # noqa: F401
 from ratiowatch.operators import calibration
 from ratiowatch.schema import MODEL_FEATURES
@@ -26,7 +29,7 @@ def candidates(trees: int = 250, rounds: int = 220) -> dict:
     return {
         "Logistic Regression": LogisticRegression(labelCol="label", featuresCol="scaled", weightCol="weight", maxIter=2000,
                                                   regParam=0.001),
-        "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=8, minInstancesPerNode=2, **shared),
+        "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=FULL_DEPTH, minInstancesPerNode=2, maxMemoryInMB=1024, **shared),
         "Boosted Trees": GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.04, subsamplingRate=0.85,
                                        featureSubsetStrategy="0.85", **shared),
     }
@@ -49,6 +52,16 @@ def pipeline(classifier, names: list[str]) -> Pipeline:
     return Pipeline(stages=[*preparation(names), classifier])
 
 
+def with_binary_target(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``label`` (0 or 1) from a column; any other value, or none, is an error."""
+    numeric = isinstance(rows.schema[column].dataType, (T.NumericType, T.BooleanType))
+    made = rows.withColumn("label", status.binary_target(C(column).cast("int") if rows.schema[column].dataType == T.BooleanType() else C(column), numeric))
+    bad = made.filter(C("label").isNull()).groupBy(C(column).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(5).collect()
+    if bad:
+        raise ValueError(f"{column} must be binary; it also holds " + ", ".join(f"{r['v']!r} ({r['n']} times)" for r in bad))
+    return made
+
+
 def weighted(rows: DataFrame) -> DataFrame:
     """Class weights from one aggregate, so both classes count the same."""
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
@@ -77,37 +90,68 @@ def fold_metrics(predictions: DataFrame) -> dict[str, float]:
     return result | {name: value or 0.0 for name, value in ranked.items()}  # a fold of one class ranks nothing
 
 
-def compare(rows: DataFrame, key: str, models: dict | None = None, folds: int = 5) -> dict:
+#: Fits that share the cluster at a time; a fit of small data leaves most of it idle.
+PARALLEL = 6
+
+
+def compare(rows: DataFrame, key: str, models: dict | None = None, folds: int = 5, parallel: int = PARALLEL) -> dict:
     """Cross-validated means per candidate on the training part, the winner by ROC-AUC,
-    and its metrics on a part with other companies. Data is written once and read per fit."""
+    and its metrics on a part with other companies. Data is written once and read per fit;
+    fits of all folds and candidates run beside one another."""
     data = cut_lineage(weighted(with_folds(rows, key, folds=folds)))
     names = usable_features(data)
     train, test = data.filter(C("fold") != 0).drop("fold"), data.filter(C("fold") == 0)
     inner = cut_lineage(with_folds(train, key, folds=folds))
     chosen_models = models or candidates()
-    found: dict[str, list] = {name: [] for name in chosen_models}
+    kept, parts = ("label", "weight", "features", "scaled"), []
     for fold in range(folds):
         # Medians and scales come from the fold's training rows and serve every candidate.
         prepared = Pipeline(stages=preparation(names)).fit(inner.filter(C("fold") != fold))
-        kept = ("label", "weight", "features", "scaled")
-        fit_rows = prepared.transform(inner.filter(C("fold") != fold)).select(*kept).persist()
-        check_rows = prepared.transform(inner.filter(C("fold") == fold)).select(*kept).persist()
-        for name, classifier in chosen_models.items():
-            found[name].append(fold_metrics(score(classifier.fit(fit_rows), check_rows)))
-        fit_rows.unpersist()
-        check_rows.unpersist()
-    table = {name: {m: sum(f[m] for f in folded) / folds for m in METRICS} for name, folded in found.items()}
-    winner = max(table, key=lambda n: table[n]["roc_auc"])
-    chosen = pipeline(chosen_models[winner], names)
-    held_out = score(chosen.fit(train), test)
-    return {"cv": table, "selected": winner, "held_out": held_out, "model": chosen.fit(data), "features": names}
+        parts.append(tuple(prepared.transform(inner.filter(side)).select(*kept).persist() for side in (C("fold") != fold, C("fold") == fold)))
+
+    def measured(task: tuple[str, int]) -> dict[str, float]:
+        name, fold = task
+        fit_rows, check_rows = parts[fold]
+        return fold_metrics(score(chosen_models[name].copy().fit(fit_rows), check_rows))
+
+    tasks = [(name, fold) for name in reversed(chosen_models) for fold in range(folds)]  # the longest first
+    with ThreadPool(parallel) as pool:
+        results = dict(zip(tasks, pool.map(measured, tasks, chunksize=1)))
+        for pair in parts:
+            for part in pair:
+                part.unpersist()
+        table = {name: {m: sum(results[name, f][m] for f in range(folds)) / folds for m in METRICS} for name in chosen_models}
+        winner = max(table, key=lambda n: table[n]["roc_auc"])
+        chosen = pipeline(chosen_models[winner], names)
+        on_train, on_all = pool.map(lambda part: chosen.copy().fit(part), [train, data], chunksize=1)
+    held_out = score(on_train, test)
+    return {"cv": table, "selected": winner, "held_out": held_out, "model": on_all, "train_model": on_train, "test": test, "features": names}
 
 
 def comparison_table(result: dict, spark) -> DataFrame:
+    """Means over the folds per candidate."""
     rows = [(name, *[metrics[m] for m in METRICS], name == result["selected"]) for name, metrics in result["cv"].items()]
     return spark.createDataFrame(rows, "model string, " + ", ".join(f"{m} double" for m in METRICS) + ", selected boolean")
 
 
+def report(result: dict, spark, group: str | None = None) -> DataFrame:
+    """(part, name, metric, value): cross-validation means, the chosen model on held-out companies, its importances, and its rates per group."""
+    rows = [("cross-validation", name, m, metrics[m]) for name, metrics in result["cv"].items() for m in METRICS]
+    held_out = cut_lineage(result["held_out"].select(*[c for c in ("p", "label", group) if c]))
+    found = fold_metrics(held_out)
+    rows += [("held-out", result["selected"], m, found[m]) for m in METRICS]
+    table = spark.createDataFrame(rows, "part string, name string, metric string, value double")
+    important = permutation_importance(result["train_model"], result["test"], result["features"], "record_id").select(
+        F.lit("importance").alias("part"), C("feature").alias("name"), F.lit("log loss").alias("metric"), C("importance").alias("value"))
+    table = table.unionByName(important)
+    if group:
+        rates = calibration.fairness(held_out.withColumn("y", C("label")), group)
+        table = table.unionByName(rates.unpivot([C("group_value").cast("string").alias("name")], [
+            C(m).cast("double").alias(m) for m in ("n", "positive_label_rate", "true_positive_rate", "false_positive_rate")], "metric", "value").select(
+            F.lit("fairness").alias("part"), "name", "metric", "value"))
+    return table
+
+
 def calibration_sample(held_out: DataFrame | None, model: PipelineModel | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Held-out pairs when there are any, else in-sample ones marked as such."""
     basis, scored = ("held-out", held_out) if held_out is not None else ("in-sample", score(model, rows))

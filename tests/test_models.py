@@ -119,3 +119,37 @@ def test_starts_advance_together_and_find_the_clusters(spark):
     assert sum(r.records for r in rows) == 1000 and len(rows) == 4
     scaled = frame.select(*[v.alias(n) for n, v in segments.scaled_columns(frame, ["a", "c"], 1000).items()]).toPandas()
     assert np.abs(scaled.mean()).max() < 1e-9 and np.abs(scaled.std(ddof=0) - 1).max() < 1e-9
+
+
+def test_permutation_importance_of_every_candidate(spark, rows):
+    from ratiowatch.ml import importance
+
+    names = models.usable_features(rows)
+    copies = importance.exchanged(rows, names, "record_id", group_rows=90)
+    assert copies.count() == 400 * (len(names) + 1)
+    for j, name in enumerate(names):  # the same values, elsewhere, and every other column in place
+        moved = copies.filter(F.col("column") == j).select(name)
+        assert moved.exceptAll(rows.select(name)).count() == 0
+    assert copies.filter("column = -1").select(*names).exceptAll(rows.select(*names)).count() == 0
+    for name, classifier in models.candidates(trees=10, rounds=5).items():
+        fitted = models.pipeline(classifier, names).fit(models.weighted(rows))
+        found = {r.feature: r.importance for r in importance.permutation_importance(fitted, rows, names, "record_id").collect()}
+        assert set(found) == set(names) and max(found, key=found.get) == names[0] and found[names[0]] > 0.05, name
+        again = {r.feature: r.importance for r in importance.permutation_importance(fitted, rows.repartition(7), names, "record_id").collect()}
+        assert all(abs(found[n] - again[n]) < 1e-9 for n in names)
+
+
+def test_bad_targets_are_errors(spark):
+    frame = spark.createDataFrame([("yes", 1, True), ("No", 0, False), ("distress", 1, True)], "word string, number int, flag boolean")
+    assert [[r.label for r in models.with_binary_target(frame, c).collect()] for c in frame.columns] == [[1, 0, 1]] * 3
+    for bad in ("maybe", None):
+        with pytest.raises(ValueError, match="must be binary"):
+            models.with_binary_target(spark.createDataFrame([("yes",), (bad,)], "word string"), "word")
+
+
+def test_report_of_a_comparison(spark, rows):
+    result = models.compare(rows, "record_id", models.candidates(trees=4, rounds=2), folds=2)
+    found = models.report(result, spark, "company_id").collect()
+    parts = {p: [r for r in found if r.part == p] for p in ("cross-validation", "held-out", "importance", "fairness")}
+    assert len(parts["cross-validation"]) == 18 and len(parts["held-out"]) == 6 and len(parts["importance"]) == 4
+    assert sum(r.value for r in parts["fairness"] if r.metric == "n") == result["test"].count()
