@@ -195,6 +195,8 @@ SQL = {
       UNION ALL SELECT 'Trend of '||variable||': '||lower(direction) FROM trend""", pairs(NUM) + "," + LNGD + "," + TREND),
     "profile_recommendations": sql("loans", """SELECT 0 AS place, 'Complete or validate: risk_status' AS recommendation FROM loans
         HAVING count(*)-count(risk_status) >= 0.2*count(*)
+      UNION ALL SELECT 1, 'Review missing values before use.' FROM loans
+        HAVING count(*)-count(risk_status) < 0.2*count(*) AND count(*) > least(count(risk_status), count(loan_status))
       UNION ALL SELECT 2, 'Confirm the meaning of: customer_id, loan_amount, credit_score, origination_date, risk_status'
       UNION ALL SELECT 5, 'Look into the decline of: '||array_to_string(list(variable ORDER BY variable)[1:5], ', ') FROM (
         SELECT variable, median(value) FILTER (d=lo) AS first, median(value) FILTER (d=hi) AS latest FROM (
