@@ -92,8 +92,10 @@ def _few_letters(d: Document) -> bool:
 
 
 def _poor_vocabulary(d: Document) -> bool:
-    """Each distinct word of a stretch is used 30 times on average; stretches of 2,000 words make texts of any length alike."""
-    return 30 * sum(len(set(d.words[at:at + STRETCH])) for at in range(0, d.n_words, STRETCH)) < d.n_words
+    """Each distinct word of a stretch is used 30 times on average. Stretches of 2,000 words, the last one up to the end of
+    the text, make texts of any length alike."""
+    begins = [*range(0, d.n_words - STRETCH, STRETCH), max(0, d.n_words - STRETCH)]
+    return 30 * sum(len(set(d.words[at:at + STRETCH])) for at in begins) < len(begins) * min(STRETCH, d.n_words)
 
 
 RULES = (
