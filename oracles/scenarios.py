@@ -59,6 +59,11 @@ ENDS = """scen(factor,side,rc,mc,dc,ic,cc,ac) AS (SELECT col0, col1, col2::DOUBL
   ('Current liabilities','u',0,0,0,0,0.4,0),('Receivables','d',0,0,0,0,0,-0.3),('Receivables','u',0,0,0,0,0,0.1)))"""
 STEPS = """scen AS (SELECT s::DOUBLE AS step, s/100::DOUBLE AS rc, 0::DOUBLE AS mc, 0::DOUBLE AS dc, 0::DOUBLE AS ic, 0::DOUBLE AS cc, 0::DOUBLE AS ac
   FROM (SELECT unnest([-30,-20,-10]) AS s))"""
+MOVES = "scen AS (SELECT s::DOUBLE AS step, factor, " + ", ".join(
+    f"CASE WHEN factor='{n}' THEN s/100::DOUBLE ELSE 0 END AS {c}" for n, c in (
+        ("Revenue", "rc"), ("Operating margin", "mc"), ("Debt", "dc"), ("Interest cost", "ic"), ("Current liabilities", "cc"), ("Receivables", "ac"))
+) + """ FROM (SELECT factor, unnest(steps) AS s FROM (VALUES ('Revenue',[-30,-20,-10,10,20]), ('Operating margin',[-8,-4,4,8]),
+  ('Debt',[-20,-10,10,20]), ('Interest cost',[-50,50,100]), ('Current liabilities',[-20,20,40]), ('Receivables',[-30,-10,10])) v(factor, steps)))"""
 OUT = f"SELECT record_id, scenario, sx AS risk_index, {band4('sx')} AS risk_category, sx-base_index AS change FROM stressed"
 LEV = [("revenue_change", "Revenue IS NOT NULL AND EBITDA IS NOT NULL", 6), ("margin_change", "Revenue IS NOT NULL AND EBITDA IS NOT NULL", 5),
        ("debt_change", "Debt IS NOT NULL", 5), ("interest_change", "Interest_Expense IS NOT NULL", 4),
@@ -93,6 +98,8 @@ SQL = {
       max(sx) FILTER (side='u') AS up FROM stressed GROUP BY 1,2)""", f"{ENDS}, {adjust('scen')}, {scored('shocked')}"),
     "breakeven": sql("risk", """SELECT record_id, 'Revenue' AS factor, max(base_index) AS base_index,
       min(step) FILTER (sx<60) AS breakeven_step FROM stressed GROUP BY 1""", f"{STEPS}, {adjust('scen')}, {scored('shocked')}"),
+    "breakeven_levers": sql("risk", """SELECT record_id, factor, CASE WHEN step<0 THEN 'downside' ELSE 'upside' END AS side, max(base_index) AS base_index,
+      arg_max(step, abs(step)) FILTER (sx<60) AS breakeven_step FROM stressed GROUP BY 1,2,3""", f"{MOVES}, {adjust('scen')}, {scored('shocked')}"),
     "whatif": sql("risk", f"""SELECT record_id, Revenue, EBITDA, Debt, Total_Assets, Growth_In AS Sales_Growth, Current_Ratio,
       sx AS risk_index, CASE WHEN sx IS NULL THEN 'Insufficient Data' WHEN sx/100<0.25{D} THEN 'Low Risk'
       WHEN sx/100<0.6{D} THEN 'Moderate Risk' ELSE 'High Risk' END AS risk_category, 100{D}-sx AS health_score,

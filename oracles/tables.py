@@ -1,3 +1,4 @@
+from oracles import records
 from oracles.base import sql
 
 COLS = ["loan_id", "customer_id", "loan_amount", "credit_score", "origination_date", "loan_status", "risk_status", "segment",
@@ -31,3 +32,16 @@ SQL = {
     "audit_recent": """SELECT event_id, ts AS recorded_utc, event_type AS event, props AS detail FROM events
       ORDER BY ts DESC, event_id DESC LIMIT 200""",
 }
+_COUNTS = (
+    ("screening", "overview", records.SQL["screening_summary"], "count(*)"),
+    ("screening", "bands", records.SQL["screening"], "count(DISTINCT coalesce(risk_category,''))"),
+    ("screening", "records", records.SQL["screening"], "count(*)"),
+    ("screening", "exposure", records.SQL["banded_exposure"], "count(*)"),
+    ("screening", "notes", SQL["notes_valid"], "count(*) FILTER (problem IS NULL)"),
+    ("assessment", "statement", records.SQL["screening"], "count(*)"),
+    ("assessment", "ratios", records.SQL["extended_ratios"], "count(*)*17"),
+    ("assessment", "assessment", records.SQL["assessment"], "count(*)"),
+    ("assessment", "warnings", records.SQL["warnings_triggered"], "count(*)"),
+    ("assessment", "recommendations", records.SQL["recommendations"], "CAST(sum(len(string_split(recommendations,' | '))) AS BIGINT)"))
+SQL["record_reports"] = " UNION ALL ".join(
+    f"SELECT '{report}' AS report, '{name}' AS table_name, (SELECT {counted} FROM ({text}) t) AS n_rows" for report, name, text, counted in _COUNTS)

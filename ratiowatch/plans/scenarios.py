@@ -50,6 +50,10 @@ def q_breakeven(spark, sf_dir):
     return scenarios.breakeven(base(spark, sf_dir), "revenue_change")
 
 
+def q_breakeven_levers(spark, sf_dir):
+    return scenarios.breakeven_levers(base(spark, sf_dir))
+
+
 def q_whatif(spark, sf_dir):
     return scenarios.what_if(driver.statements(spark, sf_dir), WHAT_IF).select(
         "record_id", "Revenue", "EBITDA", "Debt", "Total_Assets", "Sales_Growth", "Current_Ratio",
@@ -66,5 +70,5 @@ def q_scenario_three(spark, sf_dir):
 QUERIES = {
     "stress_grid": q_stress_grid, "stress_presets": q_stress_presets, "stress_summary": q_stress_summary,
     "stress_levers": q_stress_levers, "scenario_levels": q_scenario_levels, "sensitivity": q_sensitivity,
-    "breakeven": q_breakeven, "whatif": q_whatif, "scenario_three": q_scenario_three,
+    "breakeven": q_breakeven, "breakeven_levers": q_breakeven_levers, "whatif": q_whatif, "scenario_three": q_scenario_three,
 }

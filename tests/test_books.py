@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratiowatch.functions import status
-from ratiowatch.operators import calibration, intel, monitoring, notes, portfolio, tables
+from ratiowatch.operators import calibration, features, intel, monitoring, notes, portfolio, reports, tables, typing_rules
 
 
 def test_equal_loans_concentration(spark):
@@ -155,3 +155,35 @@ def test_segment_shares(spark):
     frame = spark.createDataFrame([(i, "abc"[i % 3], "z") for i in range(9)], "n int, kind string, fixed string")
     shares = intel.segment_concentration(frame).filter("variable = 'kind'").collect()
     assert [round(r.share, 6) for r in shares] == [round(1 / 3, 6)] * 3
+
+
+def test_report_tables_hold_all_rows(spark, tmp_path):
+    rows = [(f"r{i}", "A" if i % 3 else "B", float(i), float(i * i % 17), "good" if i % 4 else "bad") for i in range(60)]
+    shape = typing_rules.inspect(spark.createDataFrame(rows, "row_id string, kind string, amount double, measure double, status string"))
+    scored = spark.createDataFrame([(f"r{i}", 0.6 if i < 3 else 0.4, i < 3, 0.0, "x") for i in range(60)],
+                                   "row_id string, anomaly_score double, anomaly boolean, missing_percent double, pattern string")
+    model = spark.createDataFrame([("metric", "accuracy", 0.9)], "kind string, name string, value double")
+    clusters = spark.createDataFrame([("Segment 1", 60)], "segment string, records long")
+    tables = reports.profile_tables(shape, "row_id", scored, clusters, model)
+    reports.write_tables(tables, str(tmp_path))
+    read = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in tables}
+    assert read["data"].count() == read["risk_rows"].count() == 60 and read["segments"].count() == read["model"].count() == 1
+    overview = read["overview"].first()
+    assert (overview.n_rows, overview.anomalies, overview.duplicate_rows) == (60, 3, 0)
+    assert {r.variable for r in read["means"].collect()} >= {"amount", "measure"}
+    said = " ".join(r.recommendation for r in read["recommendations"].collect())
+    assert "3 unusual records" in said
+    bare = reports.profile_tables(shape, "row_id")
+    assert bare["overview"].first().anomalies is None and not {"risk_rows", "segments", "model"} & set(bare)
+
+
+def test_accepted_notes_and_triggered_warnings_are_reported(spark):
+    statements = spark.createDataFrame([(1, "c", "2020-12-31", 100.0, -5.0, 80.0, 100.0), (2, "c", "2021-12-31", 50.0, -9.0, 90.0, 100.0)],
+                                       "record_id long, company_id string, period string, Revenue double, EBITDA double, Debt double, Total_Assets double")
+    screened = features.screen(statements.withColumn("period", F.col("period").cast("date")))
+    judged = notes.judged_notes(spark.createDataFrame([("fine", "Decline", ""), ("", "Decline", "x")], "note string, decision string, author string"))
+    assert [r.note for r in reports.screening_tables(screened, "Debt", judged)["notes"].collect()] == ["fine"]
+    tables = reports.assessment_tables(screened)
+    assert tables["statement"].count() == 2 and tables["ratios"].count() == 2 * len(reports.RATIOS)
+    found = tables["warnings"].filter("record_id = 2").collect()
+    assert {"Rapid revenue decline", "Deteriorating margins"} <= {r.indicator for r in found} and all(r.reason and r.action for r in found)
