@@ -105,25 +105,25 @@ def read_ids(spark: SparkSession, folder: str, wanted: DataFrame | None = None)
 def ids_at(spark: SparkSession, folder: str, positions: DataFrame) -> DataFrame:
     """(position, id): single ids at places of the whole corpus, each read by direct access.
 
-    ``positions`` has one column of that name. A place outside the corpus gives no row.
-    Places meet their segment through a common cell of the position axis.
+    ``positions`` has one column of that name. A null or a place outside the corpus gives no
+    row; repeated places give one. Places meet their segment through a common cell of the
+    position axis, without its codes, and are gathered per segment, which holds at most as
+    many distinct places as ids; then each segment's codes cross the network once at most.
     """
     cell = 1 << 22
-    sizes = spark.read.parquet(folder).select("shard", "segment", "n_ids", "codes")
-    held = sizes.join(segment_starts(spark, folder), ["shard", "segment"]).withColumn(
-        "cell", F.explode(F.sequence(F.floor(F.col("segment_start") / cell),
-                                     F.floor((F.col("segment_start") + F.col("n_ids") - 1) / cell))))
-    asked = positions.select(F.col("position").cast("bigint").alias("position")).distinct().withColumn(
-        "cell", F.floor(F.col("position") / cell))
-    pairs = asked.join(held, "cell").where(
-        (F.col("position") >= F.col("segment_start")) & (F.col("position") < F.col("segment_start") + F.col("n_ids")))
+    counts = spark.read.parquet(folder).select("shard", "segment", "n_ids")
+    starts = counts.join(segment_starts(spark, folder), ["shard", "segment"]).withColumn("end", F.col("segment_start") + F.col("n_ids")).where("n_ids > 0")
+    held = starts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("segment_start") / cell), F.floor((F.col("end") - 1) / cell))))
+    asked = positions.select(F.col("position").cast("bigint").alias("position")).distinct().withColumn("cell", F.floor(F.col("position") / cell))
+    inside = asked.join(held, "cell").where((F.col("position") >= F.col("segment_start")) & (F.col("position") < F.col("end")))
+    gathered = inside.groupBy("shard", "segment", "segment_start").agg(F.collect_list("position").alias("positions"))
+    opened = gathered.join(spark.read.parquet(folder).select("shard", "segment", "codes"), ["shard", "segment"])
 
     def fetched(rows):
         for batch in rows:
-            places, data = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([dac.Segment(d).id_at(p) for p, d in zip(places, data)], pa.int64())],
-                ["position", "id"])
+            for start, places, data in zip(*(batch.column(n).to_pylist() for n in range(3))):
+                codes = dac.Segment(data)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(places, pa.int64()), pa.array([codes.id_at(p - start) for p in places], pa.int64())], ["position", "id"])
 
-    return pairs.select("position", (F.col("position") - F.col("segment_start")).alias("place"), "codes").mapInArrow(
-        fetched, "position long, id long")
+    return opened.select("segment_start", "positions", "codes").mapInArrow(fetched, "position long, id long")

@@ -80,6 +80,19 @@ def test_token_files(spark, docs, none):
     assert token_ids.digest(spark, empty).count() == 0
 
 
+def test_single_ids_of_many_segments(spark, monkeypatch):
+    batches = token_ids.batches_of
+    monkeypatch.setattr(token_ids, "batches_of", lambda texts: batches(texts, 40))
+    folder = scratch_path(spark)
+    texts = [f"text {n} " + "word " * (n % 7) for n in range(60)]
+    token_ids.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), folder, vocabulary("byte_bpe_50k.json"), "spaced", 2)
+    assert spark.read.parquet(folder).count() > 10
+    everything = [i for t in texts for i in encoded("byte_bpe_50k.json", t) + [2]]
+    asked = spark.createDataFrame([(n,) for n in [*range(len(everything) + 3), 0, 5, 5, -1, None]], "position long")
+    found = token_ids.ids_at(spark, folder, asked).collect()
+    assert len(found) == len(everything) and {r.position: r.id for r in found} == dict(enumerate(everything))
+
+
 def test_lines(docs, none):
     rows = lines.drop_repeated_lines(docs).collect()
     assert len(rows) == len(TEXTS) + 2 and set(rows[0].asDict()) == {*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "n_lines", "n_dropped", "kept_text"}
