@@ -1,6 +1,6 @@
 """Token ids of a corpus in files of directly addressable codes (see ``dac``).
 
-Documents are dealt by ranges of doc_id, sorted and encoded; each task appends segments of
+Documents are dealt by ranges of doc_id and a hash of the text, sorted and encoded; each task appends segments of
 some two million characters, or of one longer document, to its shard. A shard is a Parquet
 file without compression whose rows are segments: the codes, and the doc_ids and lengths
 of the documents in them. Spark commits whole files, so a task that is repeated after a
@@ -25,7 +25,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, style: str, end_id:
     """Encode every whole text, append ``end_id`` and write the shards in ascending id order.
 
     Null and empty texts have the end id alone. A null id comes first. Rows that share an id
-    are documents of their own, ordered by text. Other columns are ignored. An empty table
+    are documents of their own, ordered by a hash of their text. Other columns are ignored. An empty table
     gives a folder without segments. ``remembered`` bounds the distinct words a worker keeps:
     nothing else in this job needs memory, so more than the common bound.
     """
@@ -47,9 +47,10 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, style: str, end_id:
                     ["shard", "segment", "doc_ids", "lengths", "n_ids", "codes"])
                 segment += 1
 
+    place = ["doc_id", "text_hash"]  # a repeated id is dealt to many tasks
     ordered = (docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
-    ordered.mapInArrow(encoded, SHARDS).write.option("compression", "uncompressed").parquet(folder)
+               .withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).repartitionByRange(*place).sortWithinPartitions(*place, "text"))
+    ordered.select("doc_id", "text").mapInArrow(encoded, SHARDS).write.option("compression", "uncompressed").parquet(folder)
 
 
 def segment_starts(spark: SparkSession, folder: str) -> DataFrame:

@@ -93,6 +93,23 @@ def test_single_ids_of_many_segments(spark, monkeypatch):
     assert len(found) == len(everything) and {r.position: r.id for r in found} == dict(enumerate(everything))
 
 
+def test_a_repeated_id_is_dealt_to_many_tasks(spark):
+    folder = scratch_path(spark)
+    texts = [f"text {n} of one id" for n in range(400)]
+    rows = [(None if n % 3 else 7, t) for n, t in enumerate(texts)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    try:
+        token_ids.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), folder, vocabulary("byte_bpe_50k.json"), "spaced", 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(folder).select("shard").distinct().count() > 3
+    found = sorted(token_ids.digest(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted((i for i, _ in rows), key=lambda i: i or 0)
+    assert [r.start for r in found] == [sum(r.n_tokens for r in found[:n]) for n in range(len(found))]
+    sums = sorted(zlib.crc32(np.array(encoded("byte_bpe_50k.json", t) + [2], "<u4").tobytes()) for t in texts)
+    assert sorted(r.ids_crc32 for r in found) == sums
+
+
 def test_lines(docs, none):
     rows = lines.drop_repeated_lines(docs).collect()
     assert len(rows) == len(TEXTS) + 2 and set(rows[0].asDict()) == {*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "n_lines", "n_dropped", "kept_text"}
