@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ratiowatch.functions.text import header_spaced_key
+from ratiowatch.session import cut_lineage
 
 C = F.col
 
@@ -20,9 +21,10 @@ def entity_column(frame: DataFrame) -> str | None:
 
 
 def entity_risk(screened: DataFrame, entity: str = "company_id", rows: int = 10) -> DataFrame:
-    """Mean index per entity: the riskiest and the strongest, each by a top-k."""
-    means = screened.groupBy(F.coalesce(C(entity).cast("string"), F.lit("Unknown")).alias("entity")).agg(
-        F.round(F.avg("risk_index"), 6).alias("mean_risk")).filter(C("mean_risk").isNotNull())
+    """Mean index per entity: the riskiest and the strongest, each by a top-k. The means are written
+    once, so the screening runs once for both ends."""
+    means = cut_lineage(screened.groupBy(F.coalesce(C(entity).cast("string"), F.lit("Unknown")).alias("entity")).agg(
+        F.round(F.avg("risk_index"), 6).alias("mean_risk")).filter(C("mean_risk").isNotNull()))
 
     def end(label, *order):
         top = means.orderBy(*order).limit(rows)

@@ -32,20 +32,18 @@ def prior_values(frame: DataFrame, key: str, order: list[str], values: list[str]
                  slices: int | None = None) -> DataFrame:
     """Add ``prior_<value>``: the previous row's values within ``key``, nulls of the order last.
 
-    ``order`` must end in a unique column. Any number of rows per key is fine: at most
-    one carried row exists per slice boundary, so the carried table is smaller than the
-    number of slices and is safe to broadcast.
+    ``order`` must end in a unique column. Any number of rows per key is fine: as rows are cut
+    in the order of their keys, only the last row of a slice can be the previous row of one in
+    the next, so one row per slice is kept and carried, whatever the number of keys.
     """
     ordering = [F.col(name).asc_nulls_last() for name in order]
     cut = range_slices(frame, [key], ordering, slices)
     packed = F.struct(*[F.col(name) for name in values])
-    position = F.struct(*[part for name in order for part in (F.col(name).isNull(), F.col(name))])
-    ends = cut.groupBy(SLICE, key).agg(F.max_by(packed, position).alias("end_values"))
-    carried = (
-        ends.select(F.col(key).alias("carry_key"), F.col(SLICE).alias("carry_slice"),
-                    F.lag("end_values").over(Window.partitionBy(key).orderBy(SLICE)).alias("carried"))
-        .filter(F.col("carried").isNotNull())
-    )
+    position = F.struct(F.col(key).isNotNull(), F.col(key), *[part for name in order for part in (F.col(name).isNull(), F.col(name))])
+    last = cut.groupBy(SLICE).agg(F.max_by(F.struct(F.col(key).alias("key"), packed.alias("held")), position).alias("last"))
+    before = F.lag("last").over(Window.orderBy(SLICE))  # a row per slice
+    carried = last.select(F.col(SLICE).alias("carry_slice"), before.alias("before")).filter(F.col("before").isNotNull()).select(
+        "carry_slice", F.col("before.key").alias("carry_key"), F.col("before.held").alias("carried"))
     inside = Window.partitionBy(SLICE, key).orderBy(*ordering)
     within = cut.select(*[c for c in cut.columns], F.lag(packed).over(inside).alias("previous"))
     joined = within.join(
