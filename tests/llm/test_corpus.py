@@ -202,7 +202,10 @@ def plain_sets(texts, size):
     return out
 
 
-def test_near_duplicates_equal_all_pairs(spark, docs, none):
+@pytest.mark.parametrize("turns,block", [(near.STAR_ROUNDS, near.BLOCK), (0, 8)])  # stars first, or blocks of few rows alone
+def test_near_duplicates_equal_all_pairs(spark, docs, none, monkeypatch, turns, block):
+    monkeypatch.setattr(near, "STAR_ROUNDS", turns)
+    monkeypatch.setattr(near, "BLOCK", block)
     rng = np.random.default_rng(3)
     texts = []
     for group in range(12):
@@ -268,6 +271,32 @@ def test_contamination(spark, docs, none):
     assert contamination.find_passages(contamination.build_index(docs), items.limit(0)).count() == len(TEXTS) + 2
 
 
+def test_contamination_in_many_chunks_and_segments(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "CHUNK_CHARACTERS", 400)
+    monkeypatch.setattr(contamination, "SEGMENT_CHARACTERS", 900)
+    rng = np.random.default_rng(11)
+    items = {f"i{n}": [f"w{x}" for x in rng.integers(0, 30, rng.integers(1, 20))] for n in range(30)}
+    texts = {n: [f"w{x}" for x in rng.integers(0, 30, 60)] for n in range(40)}
+    for n in range(0, 40, 3):  # parts of items, some too short for a window
+        found = items[f"i{n % 30}"]
+        texts[n][10:10] = found[:rng.integers(1, len(found) + 1)]
+    index = contamination.build_index(spark.createDataFrame([(n, " ".join(t)) for n, t in texts.items()], "doc_id long, text string"))
+    assert index.count() > 4
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id string, text string")
+    rows = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in contamination.find_passages(index, bench, 5).collect()}
+    assert len(rows) == len(texts)
+    for n, words in texts.items():
+        hit, names = set(), set()
+        for item, other in items.items():
+            size = min(5, len(other))
+            windows = {tuple(other[at:at + size]) for at in range(len(other) - size + 1)}
+            for at in range(len(words) - size + 1):
+                if tuple(words[at:at + size]) in windows:
+                    hit.update(range(at, at + size))
+                    names.add(item)
+        assert rows[n] == (len(words), len(hit), sorted(names))
+
+
 def test_packing(docs, none):
     rng = np.random.default_rng(5)
     sizes = collections.Counter(np.minimum(rng.lognormal(5.5, 1, 20_000).astype(int) + 1, 2048).tolist())
