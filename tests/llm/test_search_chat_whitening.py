@@ -223,3 +223,25 @@ def test_rewritten_history_is_reported(spark):
 
 def test_queries_are_registered():
     assert {"op11_embedding_whitening", "op12_ranked_search", "op13_chat_formatting"} <= set(queries.QUERIES)
+
+
+def test_a_template_may_look_back_at_every_turn(spark):
+    """Without a stated look-back nothing is left out: turn numbers, and an opening turn that is told again far later."""
+    def numbered(turns):
+        return "".join(f"[{n}]{r}={t};" for n, (r, t) in enumerate(turns))
+
+    def recalling(turns):
+        return "".join(f"{r}={turns[0][1] if t == 'again' else t};" for r, t in turns)
+
+    turns = [(("user", "assistant")[n % 2], "again" if n == 69 else f"turn {n}") for n in range(70)]
+    frame = spark.createDataFrame([(1, n, r, t) for n, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for template in (numbered, recalling):
+        edits = sorted(chat.format_conversations(frame, template).collect(), key=lambda r: r.number)
+        assert "".join(e.piece for e in edits) == template(turns) and not any(e.rewrites for e in edits)
+
+
+def test_a_text_of_every_sign_is_located():
+    text = "".join(map(chr, range(0xE000, 0xF900)))
+    turns = [("user", text), ("assistant", "\ue000" + text + "\ue001" * 3), ("user", "b")]
+    out, edits = edited(chat.render, turns)
+    assert out == chat.render(turns) and [out[e.text_start:e.text_end] for e in edits] == [t for _, t in turns]
