@@ -16,14 +16,17 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ratiowatch.llm.encoding import batches_of, crc32_of, word_encoder
+from ratiowatch.llm.encoding import crc32_of, slices_of, word_encoder
 from ratiowatch.session import cut_lineage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Distinct step sizes in a pattern; 256 keeps the fit at 256 equations whatever the corpus is.
 STEPS = 256
+#: Bytes of text that are encoded at a time: a word is looked up once in each.
+ENCODED = 4_000_000
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, style: str, end_id: int, capacity: int, with_ids: bool = False,
@@ -32,8 +35,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, style: str, end_id: int, capacit
     def cut(rows):
         encoder = word_encoder(vocabulary, style)
         for batch in rows:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for first, last in batches_of(texts):
+            doc_ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+            for first, last in slices_of(pc.binary_length(texts).to_pylist(), ENCODED):
                 ids, lengths = encoder.encode(texts[first:last])
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 out, at = [], 0

@@ -8,12 +8,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from ratiowatch.llm import (archive, components, contamination, counts, dac, language, lines, near, packing, quality, secrets,
                             token_ids)
-from ratiowatch.llm.encoding import batches_of, vocabulary, word_encoder
+from ratiowatch.llm.encoding import WordEncoder, batches_of, vocabulary, word_encoder
 from ratiowatch.session import scratch_path
 
 LONG = " ".join(f"wörd{n % 997}" for n in range(30_000))
@@ -51,6 +52,29 @@ def test_word_encoder_equals_the_tokenizer(name, style):
     assert [t for a, b in batches_of(texts, 100) for t in texts[a:b]] == texts
 
 
+@pytest.mark.parametrize("name,style", [("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "bare")])
+def test_encoder_on_odd_spaces_letters_and_little_memory(name, style):
+    from tokenizers import Tokenizer
+
+    texts = ["a\xa0b", "\xa0", "x\u3000\u2028y z\x85w", "p\x1cq r\x1f", "\x0b\x0ca\r", "ÀÉ ÿß, Straße. İI ΣΑΣ J\u030c \u0301a ẞ", "WORD Word word, word", "日本語 テキスト",
+             "nul\x00l a\x00 b", "it's 1st $%&| (x)", *(f"w{n % 40}x É{chr(97 + n % 26) * (n % 30)}, again" for n in range(200))] * 2
+    encoder = WordEncoder(vocabulary(name), style, remembered=50)
+    tool = Tokenizer.from_file(vocabulary(name))
+    wanted = [e.ids for e in tool.encode_batch(texts, add_special_tokens=False)]
+    for given in ([texts[n:n + 7] for n in range(0, len(texts), 7)], [pa.array(["skipped", *texts]).slice(n + 1, 30) for n in range(0, len(texts), 30)]):
+        found = [encoder.encode(part) for part in given]
+        assert [i for ids, _ in found for i in ids.tolist()] == [i for ids in wanted for i in ids]
+        assert [n for _, lengths in found for n in lengths.tolist()] == list(map(len, wanted))
+
+
+def test_bare_words_are_looked_up_once_a_slice(monkeypatch):
+    asked = []
+    encoder = WordEncoder(vocabulary("word_bpe_49k.json"), "bare")
+    monkeypatch.setattr(encoder, "_places", lambda words, places=encoder._places: asked.append(len(words)) or places(words))
+    ids, lengths = encoder.encode(["one two, three " * 1000] * 3)
+    assert lengths.tolist() == [4000] * 3 and len(ids) == 12_000 and sum(asked) <= 4  # three words, and the empty end
+
+
 def test_codes_give_any_id():
     rng = np.random.default_rng(1)
     for ids in (np.empty(0, np.uint32), np.array([0, 255, 256, 65535, 65536, 2**32 - 1], np.uint32), rng.integers(0, 70_000, 3000).astype(np.uint32)):
