@@ -18,7 +18,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ratiowatch.llm.encoding import batches_of
+from ratiowatch.llm.encoding import batches_of, give_back
 from ratiowatch.session import cut_lineage
 
 #: Characters of a segment, and of the test items that are matched at a time.
@@ -65,6 +65,8 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                      pa.array([np.argsort(ids, kind="stable").astype("<u4").tobytes()])],
                     ["part", "segment", "doc_ids", "sizes", "words", "counts", "places"])
                 segment += 1
+            del batch, texts  # before the next one is read
+            give_back()
 
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     return cut_lineage(rows.mapInArrow(indexed, SEGMENTS), codec="zstd")

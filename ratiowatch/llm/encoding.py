@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 #: Distinct words that one encoder remembers before it lets go of some; bounds memory, never results.
 REMEMBERED_WORDS = 400_000
 COMMON_WORDS = 8_000
+#: Words that an encoder keeps between tasks: its worker goes on to other work, beside which they take memory.
+RESTING_WORDS = 50_000
 
 
 def vocabulary(name: str) -> str:
@@ -74,7 +76,19 @@ class WordEncoder:
     def _thin_out(self) -> None:
         """Keep the words that were met again; when those are many, none."""
         kept = np.flatnonzero(self.again[:len(self.index)])
-        if len(kept) > self.remembered // 2:
+        self._keep(kept if len(kept) <= self.remembered // 2 else kept[:0])
+
+    def rest(self, most: int = RESTING_WORDS) -> None:
+        """At the end of a task keep at most so many words, the earliest of those met again, and return unused memory."""
+        if len(self.index) > most:
+            self._keep(np.flatnonzero(self.again[:len(self.index)])[:most])
+        if len(self.of_run) > most:
+            self.of_run.clear()
+        give_back()
+
+    def _keep(self, kept: np.ndarray) -> None:
+        """Forget all words but those of these numbers."""
+        if not len(kept):
             return self._forget()
         words, lengths = list(self.index), self.lengths[kept]
         ends = np.cumsum(lengths)
@@ -199,6 +213,11 @@ def word_encoder(path: str, style: str, remembered: int = REMEMBERED_WORDS) -> W
     return WordEncoder(path, style, remembered)
 
 
+def give_back() -> None:
+    """What Arrow keeps of freed buffers goes back to the system; a Python worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def batches_of(texts: list[str], characters: int = 2_000_000):
     """Slices of at most so many characters, or of one longer text: (first, after last)."""
     return slices_of(list(map(len, texts)), characters)

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ratiowatch.llm.encoding import crc32_of, slices_of, word_encoder
+from ratiowatch.llm.encoding import crc32_of, give_back, slices_of, word_encoder
 from ratiowatch.session import cut_lineage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,6 +36,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, style: str, end_id: int, capacit
         encoder = word_encoder(vocabulary, style)
         for batch in rows:
             doc_ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+            del batch
             for first, last in slices_of(pc.binary_length(texts).to_pylist(), ENCODED):
                 ids, lengths = encoder.encode(texts[first:last])
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
@@ -47,7 +48,10 @@ def pieces_of(docs: DataFrame, vocabulary: str, style: str, end_id: int, capacit
                     at += length
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:6 if with_ids else 5]
+                give_back()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+            del texts  # before the next batch is read
+        encoder.rest()
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(cut, schema)

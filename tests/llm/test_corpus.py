@@ -5,11 +5,13 @@ import collections
 import gzip
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ratiowatch.llm import (archive, components, contamination, counts, dac, language, lines, near, packing, quality, secrets,
@@ -67,6 +69,38 @@ def test_encoder_on_odd_spaces_letters_and_little_memory(name, style):
         assert [n for _, lengths in found for n in lengths.tolist()] == list(map(len, wanted))
 
 
+@pytest.mark.parametrize("name,style", [("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "bare")])
+def test_a_resting_encoder_keeps_few_words_and_encodes_alike(name, style):
+    texts = [" ".join(f"{chr(97 + n % 26) * (n % 7)}w{n % 900}x" for n in range(at, at + 400)) for at in range(0, 8000, 200)]
+    encoder = WordEncoder(vocabulary(name), style)
+    for _ in range(3):
+        ids, lengths = encoder.encode(texts)
+        assert [i.tolist() for i in np.split(ids, np.cumsum(lengths)[:-1])] == [encoded(name, t) for t in texts]
+        assert len(encoder.index) > 300
+        encoder.encode(texts)  # all words are met again
+        encoder.rest(300)
+        assert 0 < len(encoder.index) <= 300 and len(encoder.of_run) <= 300
+    encoder.again[:] = False
+    encoder.rest(0)
+    assert not encoder.index and encoder.encode(texts)[0].tolist() == ids.tolist()
+
+
+def test_workers_of_ended_packing_tasks_keep_few_words(spark):
+    """Else a pipeline's later stages run beside the words of an earlier one, in the same workers."""
+    path = vocabulary("word_bpe_49k.json")
+    words = spark.range(0, 160_000, 1, 1).selectExpr("id div 1000 doc_id", "concat(conv(id, 10, 36), 'q') word")
+    docs = words.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("word")), " ").alias("text")).coalesce(1)
+    pieces = packing.pieces_of(docs, path, "bare", 0, 2048)
+    assert pieces.select("doc_id").distinct().count() == 160
+
+    def held(batches):
+        time.sleep(0.1)  # so that every waiting worker gets a task
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(word_encoder(path, "bare").index)], pa.int64())], ["n"])
+
+    assert max(r["n"] for r in spark.range(0, 24, 1, 24).mapInArrow(held, "n long").collect()) <= 50_000
+
+
 def test_bare_words_are_looked_up_once_a_slice(monkeypatch):
     asked = []
     encoder = WordEncoder(vocabulary("word_bpe_49k.json"), "bare")
