@@ -245,3 +245,17 @@ def test_a_text_of_every_sign_is_located():
     turns = [("user", text), ("assistant", "\ue000" + text + "\ue001" * 3), ("user", "b")]
     out, edits = edited(chat.render, turns)
     assert out == chat.render(turns) and [out[e.text_start:e.text_end] for e in edits] == [t for _, t in turns]
+
+
+def test_the_template_in_use_is_given_every_prefix_whole(spark):
+    import functools
+
+    @functools.wraps(chat.render)  # with all that the template says of itself
+    def watched(turns):
+        assert len(turns) == 1 or turns[0] == ("user", "opening"), "turns were left out"
+        return chat.render(turns)
+
+    turns = [("user", "opening"), *[(("user", "assistant")[n % 2], f"turn {n}") for n in range(1, 9)]]
+    frame = spark.createDataFrame([(1, n, r, t) for n, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    edits = sorted(chat.format_conversations(frame, watched).collect(), key=lambda r: r.number)
+    assert "".join(e.piece for e in edits) == chat.render(turns)
