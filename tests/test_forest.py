@@ -109,3 +109,18 @@ def test_deeper_trees_take_no_more_passes(spark):
         taken.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert taken[1] <= taken[0] + 3
+
+
+def test_the_candidates_forest_takes_no_pass_per_level(spark):
+    """Six rows make a tree of a level or two, rows without a rule make deep ones: as many jobs."""
+    rng, names, taken = np.random.default_rng(9), ["x0", "x1"], []
+    for rows in (6, 900):
+        frame = spark.createDataFrame([(float(a), float(b), int(c) if rows > 6 else i % 2, 1.0) for i, (a, b, c) in enumerate(
+            zip(rng.normal(size=rows), rng.normal(size=rows), rng.integers(0, 2, rows)))], "x0 double, x1 double, label int, weight double")
+        ready = VectorAssembler(inputCols=names, outputCol="features").transform(frame)
+        group = f"rows {rows} {id(frame)}"
+        spark.sparkContext.setJobGroup(group, group)
+        models.candidates(trees=3)["Random Forest"].fit(ready)
+        taken.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert taken[1] <= taken[0] + 3
