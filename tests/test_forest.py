@@ -124,3 +124,17 @@ def test_the_candidates_forest_takes_no_pass_per_level(spark):
         taken.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert taken[1] <= taken[0] + 3
+
+
+def test_sibling_leaves_of_one_class_are_one_leaf(spark, monkeypatch):
+    """As in Spark's trees: a split that only parts rows of the same class is taken back, in groups and across their borders."""
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.range(800).select(
+        "id", (F.col("id") % 2).cast("double").alias("a"), F.lit(0.0).alias("b"), F.when(F.col("id") % (F.col("id") % 2 * 15 + 5) == 1, 1).otherwise(0).alias("label")))
+    shown = []
+    for most in (1 << 17, 300):
+        monkeypatch.setattr(forest, "GROUP_ROWS", most)
+        model = Forest(8).fit(rows)
+        shown.append(shares(model, rows))
+        assert all((forest._opened(blob)[0] < 0).all() for _, _, _, blob in model.held) and not any(t.gains for t in model.tops)
+        assert not model.featureImportances.toArray().any()
+    assert np.abs(shown[0] - shown[1]).max() < 1e-6 and len(np.unique(shown[0], axis=0)) == 1
